@@ -20,5 +20,5 @@ def test_windows(spark, sf_dir):
     source = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     q = feed.windowed_counts(source, "ts", "event_type", "1 hour", "1 day").writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
-    batch = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.window("ts", "1 hour"), "event_type").count()
+    batch = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour"), "event_type").count()
     assert spark.table("w").agg(F.sum("n")).first()[0] == batch.agg(F.sum("count")).first()[0] and spark.table("w").count() == batch.count()

@@ -31,11 +31,16 @@ def running_degrees(edges: DataFrame) -> DataFrame:
     return adjacency.degrees(adjacency.both_ways(edges))
 
 
+def _timed(events: DataFrame, time: str) -> DataFrame:
+    """Watermarks take timestamps with a zone only; those without one are in the session's."""
+    return events.withColumn(time, F.col(time).cast("timestamp"))
+
+
 def windowed_counts(events: DataFrame, time: str, key: str, length: str, late: str, slide: str | None = None) -> DataFrame:
     """Rows per key and window of event time; rows later than `late` are dropped. slide makes windows overlap."""
-    return events.withWatermark(time, late).groupBy(F.window(time, length, slide), key).agg(F.count(F.lit(1)).alias("n"))
+    return _timed(events, time).withWatermark(time, late).groupBy(F.window(time, length, slide), key).agg(F.count(F.lit(1)).alias("n"))
 
 
 def sessions(events: DataFrame, time: str, key: str, gap: str, late: str) -> DataFrame:
     """Rows per key and session of event time, ended by a gap."""
-    return events.withWatermark(time, late).groupBy(F.session_window(time, gap), key).agg(F.count(F.lit(1)).alias("n"))
+    return _timed(events, time).withWatermark(time, late).groupBy(F.session_window(time, gap), key).agg(F.count(F.lit(1)).alias("n"))
