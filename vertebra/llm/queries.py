@@ -71,7 +71,32 @@ QUERIES = {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_sec
 
 _STOP = ", ".join(f"'{w}'" for w in sorted({w for ws in quality.STOP_WORDS.values() for w in ws}))
 
+
+
+def _spans_sql(rank: int, rule: secrets.Rule) -> str:
+    """Matches of one rule: places are sums of the lengths of the gaps and matches before."""
+    regex = (("(?i)" if rule.any_case else "") + rule.regex).replace("'", "''")
+    return f"""SELECT doc_id, {rank} AS rank, '{rule.name}' AS kind, length(m[i]) AS size, length(x[i]) AS checked,
+  coalesce(list_sum(list_transform(g[1:i], lambda s: length(s))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda s: length(s))), 0) AS start, {rule.least} AS least
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{regex}') AS m, regexp_extract_all(text, '{regex}', {rule.checked}) AS x, string_split_regex(text, '{regex}') AS g FROM documents))"""
+
+
+_BASE = ", ".join(f"'{r.name}'" for r in secrets.BASE_RULES)
+
 ORACLES = {
+    "op2_substring_dedup": r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY s) AS c FROM win) WHERE c > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM rep, range(35) t(k)),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
+    "op3_secret_scan": f"""
+WITH s AS (SELECT doc_id, rank, kind, start, kind || ':' || start || ':' || (start + size) AS span FROM ({" UNION ALL ".join(_spans_sql(i, r) for i, r in enumerate(secrets.RULES))}) WHERE checked >= least)
+SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+       sha256(coalesce(string_agg(span, ',' ORDER BY start, rank) FILTER (kind IN ({_BASE})), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY start, rank), '') AS spans
+FROM documents LEFT JOIN s USING (doc_id) GROUP BY doc_id""",
     "op8_quality": rf"""
 WITH w AS (
   SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
