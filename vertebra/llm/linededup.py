@@ -17,6 +17,19 @@ BUCKET_BITS, CHUNK_BITS = 21, 16
 ROW = np.dtype([("token", "<u8"), ("sig", "<u8"), ("bits", "<u8"), ("n", "<i4"), ("at", "<i4")])
 
 
+def by_line(line: np.ndarray, *keys: tuple[np.ndarray, int]) -> np.ndarray:
+    """An order by line, then by keys, the last one cut to the bits that are left of 64: one sort of integers.
+
+    keys: values and their bits, the last one's values with all 64. Values that the cut makes equal stand in either order.
+    """
+    left = 64 - int(line.max(initial=0)).bit_length()
+    code = np.zeros(len(line), dtype=np.uint64) if left == 64 else line.astype(np.uint64) << np.uint64(left)
+    for values, bits in keys[:-1]:
+        left -= bits
+        code |= values.astype(np.uint64) << np.uint64(left)
+    return np.argsort(code | keys[-1][0] >> np.uint64(64 - left))
+
+
 class Lines:
     """Lines with a word, of several texts, as sets of word hashes.
 
@@ -35,7 +48,7 @@ class Lines:
         self.text, self.number = text[starts], global_line[starts] - np.searchsorted(breaks, offsets[text[starts]])
         line = np.cumsum(new) - 1
         hashes = words.hashes()
-        order = np.lexsort((hashes, line))
+        order = by_line(line, (hashes, 64))
         h, ln = hashes[order], line[order]
         keep = np.ones(len(h), dtype=bool)
         keep[1:] = (h[1:] != h[:-1]) | (ln[1:] != ln[:-1])
@@ -50,18 +63,37 @@ def bucket(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def word_counts(rows: DataFrame) -> np.ndarray:
-    """How often the words of each bucket occur in all texts. Tasks send their own counts; chunks are summed apart."""
+def surveyed(rows: DataFrame) -> DataFrame:
+    """One pass over all texts, written: each row's lines, and each task's counts of words by bucket.
+
+    Lines: id, key, numbers, sigs (arrays, lines with a word). Counts: chunk, at (buckets within it), n, with the others null.
+    """
+    schema = "id long, key binary, numbers array<int>, sigs array<long>, chunk int, at binary, n binary"
+    names = ["id", "key", "numbers", "sigs", "chunk", "at", "n"]
+    types = [pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.binary()]
+
+    def record(columns: list, size: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(size, t) if c is None else c for c, t in zip(columns, types, strict=True)], names=names)
 
-    def count(batches):
+    def run(batches):
         total = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
         for part in slices(batches, 0):
-            total += np.bincount(bucket(Words(*buffers(part.column(0))).hashes()), minlength=len(total))
+            lines = Lines(*buffers(part.column(0)))
+            total += np.bincount(bucket(lines.tokens), minlength=len(total))
+            cut = pa.array(np.searchsorted(lines.text, np.arange(len(part) + 1)).astype(np.int32))
+            numbers = pa.ListArray.from_arrays(cut, pa.array(lines.number.astype(np.int32)))
+            yield record([part.column(1), part.column(2), numbers, pa.ListArray.from_arrays(cut, pa.array(lines.sig.view(np.int64))), None, None, None], len(part))
         for c in range(len(total) >> CHUNK_BITS):
             own = total[c << CHUNK_BITS : (c + 1) << CHUNK_BITS]
             at = np.flatnonzero(own)
             if len(at):
-                yield pa.record_batch([pa.array([c], pa.int32()), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([own[at].astype("<i8").tobytes()], pa.binary())], names=["chunk", "at", "n"])
+                yield record([None] * 4 + [pa.array([c], pa.int32()), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([own[at].astype("<i8").tobytes()], pa.binary())], 1)
+
+    return saved(rows.select("text", "id", "key").mapInArrow(run, schema))
+
+
+def word_counts(survey: DataFrame) -> np.ndarray:
+    """In how many lines the words of each bucket occur, in all texts. Chunks are summed apart; the table has a fixed size."""
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
@@ -71,8 +103,8 @@ def word_counts(rows: DataFrame) -> np.ndarray:
         for c, s in sums.items():
             yield pa.record_batch([pa.array([c], pa.int32()), pa.array([np.minimum(s, 2**31 - 1).astype("<i4").tobytes()], pa.binary())], names=["chunk", "n"])
 
-    chunks = 1 << (BUCKET_BITS - CHUNK_BITS)
-    parts = rows.select("text").mapInArrow(count, "chunk int, at binary, n binary").repartition(chunks, "chunk").mapInArrow(add, "chunk int, n binary").collect()
+    own = survey.where("chunk is not null").select("chunk", "at", "n")
+    parts = own.repartition(1 << (BUCKET_BITS - CHUNK_BITS), "chunk").mapInArrow(add, "chunk int, n binary").collect()
     out = np.zeros(1 << BUCKET_BITS, dtype=np.int32)
     for r in parts:
         out[r.chunk << CHUNK_BITS : (r.chunk + 1) << CHUNK_BITS] = np.frombuffer(r.n, "<i4")
@@ -80,7 +112,7 @@ def word_counts(rows: DataFrame) -> np.ndarray:
 
 
 def prefixes(lines: Lines, which: np.ndarray, counts: np.ndarray, p: int, q: int) -> np.ndarray:
-    """Prefix rows of the chosen lines: words by rarity (bucket count, then hash), the first n - ceil(n p / q) + 1.
+    """Prefix rows of the chosen lines: words by rarity (bucket count up to 2**14, then hash), the first n - ceil(n p / q) + 1.
 
     Words found once in all texts keep their place but are left out, since no other line has them. bits has a bit
     flipped for each word, so that two sets differ in at least as many words as their bits do.
@@ -90,7 +122,7 @@ def prefixes(lines: Lines, which: np.ndarray, counts: np.ndarray, p: int, q: int
     mine = chosen[lines.line]
     tokens, line = lines.tokens[mine], lines.line[mine]
     often = counts[bucket(tokens)]
-    order = np.lexsort((tokens, often, line))
+    order = by_line(line, (np.minimum(often, (1 << 14) - 1), 14), (tokens, 64))
     tokens, line, often = tokens[order], line[order], often[order]
     n = lines.n[line]
     begin = np.searchsorted(line, line)
@@ -188,20 +220,6 @@ def candidates(rows: DataFrame, counts: np.ndarray, p: int, q: int, parts: int)
     return blocks.mapInArrow(meet, "a long, b long").distinct()
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(id, key, numbers, sigs): the lines with a word of each row; id is doc_id (null: the largest long), key the text's digest."""
-
-    def run(batches):
-        for part in slices(batches, 0):
-            lines = Lines(*buffers(part.column(0)))
-            cut = np.searchsorted(lines.text, np.arange(len(part) + 1)).astype(np.int32)
-            numbers = pa.ListArray.from_arrays(pa.array(cut), pa.array(lines.number.astype(np.int32)))
-            sigs = pa.ListArray.from_arrays(pa.array(cut), pa.array(lines.sig.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), numbers, sigs], names=["id", "key", "numbers", "sigs"])
-
-    return docs.select("text", "id", "key").mapInArrow(run, "id long, key binary, numbers array<int>, sigs array<long>")
-
-
 def tokens_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(sig, tokens): the word hashes of the sets in wanted (sig, id, key, number)."""
     by_text = wanted.groupBy("id", "key").agg(F.collect_list("number").alias("numbers"))
@@ -255,9 +273,9 @@ def dedup(docs: DataFrame, least: float = 0.8, with_text: bool = False) -> DataF
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"), F.unhex(F.md5("text")).alias("key"), "text").where(F.col("text").rlike(WORD))
     parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    lines = saved(lines_of(rows))
-    each = lines.select("id", "key", F.explode(F.arrays_zip("numbers", "sigs")).alias("l")).select("id", "key", F.col("l.numbers").alias("number"), F.col("l.sigs").alias("sig"))
-    pairs = saved(candidates(rows, word_counts(rows), p, q, parts))
+    survey = surveyed(rows)
+    each = survey.where("chunk is null").select("id", "key", F.explode(F.arrays_zip("numbers", "sigs")).alias("l")).select("id", "key", F.col("l.numbers").alias("number"), F.col("l.sigs").alias("sig"))
+    pairs = saved(candidates(rows, word_counts(survey), p, q, parts))
     met = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
     firsts = each.groupBy("sig").agg(F.min(F.struct("id", "key", "number")).alias("first"), F.count(F.lit(1)).alias("times"))
     wanted = firsts.join(met, "sig").select("sig", "first.*")
