@@ -25,7 +25,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines like an earlier one go; a document left without a word goes with its last line. n_chars follows the text."""
     vertebra.ship(spark)
-    out = linededup.dedup(docs, with_text=True).where((F.col("n_removed") == 0) | F.col("kept_text").rlike(WORD))
+    out = linededup.dedup(docs, with_text=True, with_links=False).where((F.col("n_removed") == 0) | F.col("kept_text").rlike(WORD))
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     out = out.withColumn("text", text)
     if "n_chars" in docs.columns:

@@ -157,3 +157,56 @@ def buffers(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def few_or_plain(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
     """Marks a table for broadcast only if it has at most `most` rows."""
     return F.broadcast(df) if rows <= most else df
+
+
+class Bloom:
+    """A set of 64-bit integers in a bitmap of fixed size: says yes to all of them and to few others.
+
+    However many keys there are, the bitmap is 2**bits bits; past its capacity it lets more through and drops nothing.
+    """
+
+    CHUNK = 20
+
+    def __init__(self, keys: DataFrame, bits: int = 27):
+        """keys: one column of longs. Tasks send the bits that they set, chunk by chunk; chunks are merged apart."""
+        self.bits = bits
+
+        def mark(batches):
+            at = [np.concatenate(self._places(b.column(0).to_numpy(zero_copy_only=False))) for b in batches if len(b)]
+            at = np.unique(np.concatenate(at)) if at else np.zeros(0, dtype=np.uint64)
+            chunk = (at >> np.uint64(self.CHUNK)).astype(np.int32)
+            cut = np.flatnonzero(np.diff(chunk)) + 1
+            for part in np.split(at, cut):
+                if len(part):
+                    low = (part & np.uint64((1 << self.CHUNK) - 1)).astype("<u4")
+                    yield pa.record_batch([pa.array([int(part[0]) >> self.CHUNK], pa.int32()), pa.array([low.tobytes()], pa.binary())], names=["chunk", "at"])
+
+        def merge(batches):
+            sums: dict[int, np.ndarray] = {}
+            for b in batches:
+                for c, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    sums.setdefault(c, np.zeros(1 << self.CHUNK, dtype=bool))[np.frombuffer(at, "<u4")] = True
+            for c, x in sums.items():
+                yield pa.record_batch([pa.array([c], pa.int32()), pa.array([np.packbits(x).tobytes()], pa.binary())], names=["chunk", "at"])
+
+        parts = keys.mapInArrow(mark, "chunk int, at binary").repartition(16, "chunk").mapInArrow(merge, "chunk int, at binary").collect()
+        self.map = np.zeros(1 << (bits - 3), dtype=np.uint8)
+        size = 1 << (self.CHUNK - 3)
+        for r in parts:
+            self.map[r.chunk * size : (r.chunk + 1) * size] = np.frombuffer(r["at"], dtype=np.uint8)
+
+    def __getstate__(self):
+        return {"bits": self.bits, "map": getattr(self, "map", None)}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+
+    def _places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = mixed(keys.view(np.uint64))
+        return x >> np.uint64(64 - self.bits), mixed(x + np.uint64(1)) >> np.uint64(64 - self.bits)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        found = np.ones(len(keys), dtype=bool)
+        for at in self._places(keys):
+            found &= (self.map[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+        return found

@@ -5,16 +5,17 @@ from __future__ import annotations
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertebra.llm.common import WORD, Words, buffers, mixed, saved, slices
+from vertebra.llm.common import WORD, Bloom, Words, buffers, mixed, saved, slices
 
 #: Words are counted in 2**21 hash buckets, in chunks of 2**16: the table of counts is 8 MB for any corpus.
 BUCKET_BITS, CHUNK_BITS = 21, 16
-ROW = np.dtype([("token", "<u8"), ("sig", "<u8"), ("bits", "<u8"), ("n", "<i4"), ("at", "<i4")])
+#: Columns of prefix rows as they are sent; of a word's hash, 5 bytes.
+ROW = {"token": "<u8", "sig": "<u8", "bits": "<u8", "n": "<i4", "at": "<i4"}
 
 
 def by_line(line: np.ndarray, *keys: tuple[np.ndarray, int]) -> np.ndarray:
@@ -66,11 +67,11 @@ def bucket(tokens: np.ndarray) -> np.ndarray:
 def surveyed(rows: DataFrame) -> DataFrame:
     """One pass over all texts, written: each row's lines, and each task's counts of words by bucket.
 
-    Lines: id, key, numbers, sigs (arrays, lines with a word). Counts: chunk, at (buckets within it), n, with the others null.
+    Lines: id, row, numbers, sigs (arrays, lines with a word). Counts: chunk, at (buckets within it), n, with the others null.
     """
-    schema = "id long, key binary, numbers array<int>, sigs array<long>, chunk int, at binary, n binary"
-    names = ["id", "key", "numbers", "sigs", "chunk", "at", "n"]
-    types = [pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.binary()]
+    schema = "id long, row long, numbers array<int>, sigs array<long>, chunk int, at binary, n binary"
+    names = ["id", "row", "numbers", "sigs", "chunk", "at", "n"]
+    types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.binary()]
 
     def record(columns: list, size: int) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.nulls(size, t) if c is None else c for c, t in zip(columns, types, strict=True)], names=names)
@@ -89,7 +90,7 @@ def surveyed(rows: DataFrame) -> DataFrame:
             if len(at):
                 yield record([None] * 4 + [pa.array([c], pa.int32()), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([own[at].astype("<i8").tobytes()], pa.binary())], 1)
 
-    return saved(rows.select("text", "id", "key").mapInArrow(run, schema))
+    return saved(rows.select("text", "id", "row").mapInArrow(run, schema))
 
 
 def word_counts(survey: DataFrame) -> np.ndarray:
@@ -111,7 +112,7 @@ def word_counts(survey: DataFrame) -> np.ndarray:
     return out
 
 
-def prefixes(lines: Lines, which: np.ndarray, counts: np.ndarray, p: int, q: int) -> np.ndarray:
+def prefixes(lines: Lines, which: np.ndarray, counts: np.ndarray, p: int, q: int) -> dict[str, np.ndarray]:
     """Prefix rows of the chosen lines: words by rarity (bucket count up to 2**14, then hash), the first n - ceil(n p / q) + 1.
 
     Words found once in all texts keep their place but are left out, since no other line has them. bits has a bit
@@ -131,24 +132,25 @@ def prefixes(lines: Lines, which: np.ndarray, counts: np.ndarray, p: int, q: int
     heads = np.flatnonzero(at == 0)
     bits = np.bitwise_xor.reduceat(flips, heads) if len(heads) else flips
     use = (at < n - -(-n * p // q) + 1) & (often > 1)
-    out = np.empty(int(use.sum()), dtype=ROW)
-    out["token"], out["sig"], out["n"], out["at"] = tokens[use], lines.sig[line[use]], n[use], at[use]
-    out["bits"] = np.repeat(bits, np.diff(np.append(heads, len(line))))[use]
-    return out
+    bits = np.repeat(bits, np.diff(np.append(heads, len(line))))[use]
+    return {"token": tokens[use] >> np.uint64(24), "sig": lines.sig[line[use]], "bits": bits, "n": n[use].astype("<i4"), "at": at[use].astype("<i4")}
 
 
-def joined(rows: np.ndarray, p: int, q: int, most: int = 1 << 21):
+def joined(rows: dict[str, np.ndarray], p: int, q: int, most: int = 1 << 21):
     """Candidate pairs of set hashes among prefix rows, a few million tried pairs at a time.
 
     Rows are sorted by word and size. A row within its index prefix meets the larger rows of its word up to q / p times
     its size (length filter); what may still match after both positions must suffice (positional filter), and the bits
     may not differ more than the sets could.
     """
-    rows = np.unique(rows)
-    rows = rows[np.lexsort((rows["n"], rows["token"]))]
-    n = rows["n"].astype(np.int64)
-    group = np.cumsum(np.concatenate([[0], rows["token"][1:] != rows["token"][:-1]])) if len(rows) else np.zeros(0, dtype=np.int64)
-    index = np.flatnonzero(rows["at"] < n - -(-2 * n * p // (p + q)) + 1)
+    order = np.lexsort((rows["sig"], rows["n"], rows["token"]))
+    token, sig = rows["token"][order], rows["sig"][order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])
+    order, token, sig = order[new], token[new], sig[new]
+    n, place, bits = rows["n"][order].astype(np.int64), rows["at"][order].astype(np.int64), rows["bits"][order]
+    group = np.cumsum(np.concatenate([[0], token[1:] != token[:-1]])) if len(token) else np.zeros(0, dtype=np.int64)
+    index = np.flatnonzero(place < n - -(-2 * n * p // (p + q)) + 1)
     wide = int(n.max(initial=1)) * q // p + 2
     end = np.searchsorted(group * wide + n, group[index] * wide + n[index] * q // p, side="right")
     many = end - index - 1
@@ -160,11 +162,10 @@ def joined(rows: np.ndarray, p: int, q: int, most: int = 1 << 21):
         m = many[at:to]
         i = np.repeat(index[at:to], m)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)
-        a, b = rows[i], rows[j]
         need = -(-(n[i] + n[j]) * p // (p + q))
-        ok = (1 + np.minimum(n[i] - a["at"], n[j] - b["at"]) - 1 >= need) & (np.bitwise_count(a["bits"] ^ b["bits"]) <= n[i] + n[j] - 2 * need) & (a["sig"] != b["sig"])
-        pair = np.unique(np.stack([np.minimum(a["sig"][ok], b["sig"][ok]), np.maximum(a["sig"][ok], b["sig"][ok])]), axis=1)
-        yield pair[0].view(np.int64), pair[1].view(np.int64)
+        ok = (np.minimum(n[i] - place[i], n[j] - place[j]) >= need) & (np.bitwise_count(bits[i] ^ bits[j]) <= n[i] + n[j] - 2 * need)
+        a, b = np.minimum(sig[i[ok]], sig[j[ok]]), np.maximum(sig[i[ok]], sig[j[ok]])
+        yield a.view(np.int64), b.view(np.int64)
         at = to
 
 
@@ -178,16 +179,18 @@ def candidates(rows: DataFrame, counts: np.ndarray, p: int, q: int, parts: int)
 
     def emit(batches):
         seen: set[int] = set()
-        held: list[np.ndarray] = []
+        held: list[dict[str, np.ndarray]] = []
 
         def blocks():
-            every = np.concatenate(held)
+            every = {c: np.concatenate([h[c] for h in held]) for c in ROW}
             part = (mixed(every["token"]) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             cut = np.searchsorted(part[order], np.arange(parts + 1))
             own = [i for i in range(parts) if cut[i + 1] > cut[i]]
-            raw = [every[order[cut[i] : cut[i + 1]]].tobytes() for i in own]
-            return pa.record_batch([pa.array(own, pa.int32()), pa.array(raw, pa.binary())], names=["part", "rows"])
+            sent = {c: every[c][order] for c in ROW}
+            sent["token"] = sent["token"].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+            raw = [pa.array([sent[c][cut[i] : cut[i + 1]].tobytes() for i in own], pa.binary()) for c in ROW]
+            return pa.record_batch([pa.array(own, pa.int32()), *raw], names=["part", *ROW])
 
         for piece in slices(batches, 0):
             lines = Lines(*buffers(piece.column(0)))
@@ -202,40 +205,47 @@ def candidates(rows: DataFrame, counts: np.ndarray, p: int, q: int, parts: int)
             new = new[lines.n[new] * (q - p) >= p]
             if len(new):
                 held.append(prefixes(lines, new, shared.value, p, q))
-            if sum(len(h) for h in held) > 1_500_000:
+            if sum(len(h["n"]) for h in held) > 1_000_000:
                 yield blocks()
                 held.clear()
         if held:
             yield blocks()
 
     def meet(batches):
-        held: list[np.ndarray] = []
+        held: dict[str, list[np.ndarray]] = {c: [] for c in ROW}
         for b in batches:
-            held += [np.frombuffer(r, dtype=ROW) for r in b.column(1).to_pylist()]
-        if held:
-            for a, b in joined(np.concatenate(held), p, q):
+            for c in ROW:
+                for raw in b.column(c).to_pylist():
+                    if c == "token":
+                        wide = np.zeros((len(raw) // 5, 8), dtype=np.uint8)
+                        wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+                        held[c].append(wide.view("<u8").ravel())
+                    else:
+                        held[c].append(np.frombuffer(raw, ROW[c]))
+        if held["n"]:
+            for a, b in joined({c: np.concatenate(x) for c, x in held.items()}, p, q):
                 yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    blocks = rows.select("text").mapInArrow(emit, "part int, rows binary").repartition(parts, "part")
+    blocks = rows.select("text").mapInArrow(emit, "part int, " + ", ".join(f"{c} binary" for c in ROW)).repartition(parts, "part")
     return blocks.mapInArrow(meet, "a long, b long").distinct()
 
 
-def tokens_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sig, tokens): the word hashes of the sets in wanted (sig, id, key, number)."""
-    by_text = wanted.groupBy("id", "key").agg(F.collect_list("number").alias("numbers"))
-    some = docs.join(by_text, ["id", "key"]).select("text", "numbers")
+def tokens_of(rows: DataFrame, wanted: Bloom, held: Bloom) -> DataFrame:
+    """(sig, tokens): the word hashes of sets in wanted, and of few others, from rows in held (and few others)."""
+    shared = rows.sparkSession.sparkContext.broadcast((wanted, held))
 
     def run(batches):
-        for part in slices(batches, 0):
-            lines = Lines(*buffers(part.column(0)))
-            lists = part.column(1)
-            text = np.repeat(np.arange(len(part)), np.asarray(pc.list_value_length(lists)))
-            width = int(lines.number.max(initial=0)) + 1
-            at = np.searchsorted(lines.text * width + lines.number, text * width + np.asarray(lists.flatten()))
-            raw = [lines.tokens[lines.first[i] : lines.first[i + 1]].tobytes() for i in at.tolist()]
-            yield pa.record_batch([pa.array(lines.sig[at].view(np.int64)), pa.array(raw, pa.binary())], names=["sig", "tokens"])
+        wanted, held = shared.value
+        for batch in batches:
+            some = batch.filter(pa.array(held.has(batch.column(1).to_numpy())))
+            for part in slices([some], 0):
+                lines = Lines(*buffers(part.column(0)))
+                _, at = np.unique(lines.sig, return_index=True)
+                at = at[wanted.has(lines.sig[at])]
+                raw = [lines.tokens[lines.first[i] : lines.first[i + 1]].tobytes() for i in at.tolist()]
+                yield pa.record_batch([pa.array(lines.sig[at].view(np.int64)), pa.array(raw, pa.binary())], names=["sig", "tokens"])
 
-    return some.mapInArrow(run, "sig long, tokens binary").dropDuplicates(["sig"])
+    return rows.select("text", "row").mapInArrow(run, "sig long, tokens binary").dropDuplicates(["sig"])
 
 
 def linked(pairs: DataFrame, tokens: DataFrame, p: int, q: int) -> DataFrame:
@@ -257,47 +267,58 @@ def linked(pairs: DataFrame, tokens: DataFrame, p: int, q: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def dedup(docs: DataFrame, least: float = 0.8, with_text: bool = False) -> DataFrame:
-    """Adds n_lines, n_removed, n_links, class_id, kept_sha256 and, if asked, kept_text to every row.
+def dedup(docs: DataFrame, least: float = 0.8, with_text: bool = False, with_links: bool = True) -> DataFrame:
+    """Adds n_lines, n_removed, kept_sha256 and, if asked, kept_text, n_links and class_id to every row.
 
     Lines are \\n-separated and compared as sets of words; a line is removed if an earlier line of any document (by
-    doc_id, null last, then the text's digest, then line number) has a Jaccard similarity of at least `least` with it,
+    doc_id, null last, then a hash of the row, then line number) has a Jaccard similarity of at least `least` with it,
     judged on the input. Blank lines have no set, are not counted and stay. n_links counts the links to different sets of
     all the document's lines; class_id is the smallest doc_id with a line like one of its own. Equal rows fare alike.
+
+    Only texts that lose lines are shuffled. They, and those whose words verification needs, are picked by bitmaps of
+    fixed size, which let a few others through and hold none back.
     """
     ours = ["n_lines", "n_removed", "n_links", "class_id", "kept_sha256", "kept_text"]
     docs = docs.select(*[c for c in docs.columns if c not in ours])
     spark = docs.sparkSession
     ratio = Fraction(least).limit_denominator(1000)
     p, q = ratio.numerator, ratio.denominator
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"), F.unhex(F.md5("text")).alias("key"), "text").where(F.col("text").rlike(WORD))
+    docs = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))).withColumn("__row", F.xxhash64("__id", "text"))
+    rows = docs.where(F.col("text").rlike(WORD)).select(F.col("__id").alias("id"), F.col("__row").alias("row"), "text")
     parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     survey = surveyed(rows)
-    each = survey.where("chunk is null").select("id", "key", F.explode(F.arrays_zip("numbers", "sigs")).alias("l")).select("id", "key", F.col("l.numbers").alias("number"), F.col("l.sigs").alias("sig"))
+    each = survey.where("chunk is null").select("id", "row", F.explode(F.arrays_zip("numbers", "sigs")).alias("l")).select("id", "row", F.col("l.numbers").alias("number"), F.col("l.sigs").alias("sig"))
     pairs = saved(candidates(rows, word_counts(survey), p, q, parts))
     met = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    firsts = each.groupBy("sig").agg(F.min(F.struct("id", "key", "number")).alias("first"), F.count(F.lit(1)).alias("times"))
-    wanted = firsts.join(met, "sig").select("sig", "first.*")
-    links = saved(linked(pairs, tokens_of(rows, wanted), p, q))
+    firsts = saved(each.groupBy("sig").agg(F.min(F.struct("id", "row", "number")).alias("first"), F.count(F.lit(1)).alias("times")).join(met.withColumn("met", F.lit(True)), "sig", "left").where("times > 1 or met"))
+    wanted = firsts.where("met")
+    tokens = tokens_of(rows, Bloom(wanted.select("sig")), Bloom(wanted.select("first.row")))
+    links = saved(linked(pairs, tokens, p, q))
 
     both = links.select(F.col("a").alias("sig"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("sig"), F.col("a").alias("other")))
     near = both.join(firsts.select(F.col("sig").alias("other"), "first"), "other").groupBy("sig").agg(F.min("first").alias("near"), F.count(F.lit(1)).alias("n"))
     known = firsts.join(near, "sig", "left").where("times > 1 or n is not null").select("sig", F.least("first", "near").alias("first"), F.coalesce("n", F.lit(0)).alias("n"))
-    hits = each.join(known, "sig").withColumn("later", F.col("first") < F.struct("id", "key", "number"))
-    removed = F.collect_set(F.when(F.col("later"), F.col("number")))
-    by_row = hits.groupBy("id", "key", "number").agg(F.min("first.id").alias("head"), F.max("n").alias("n"), F.max("later").alias("later"))
-    by_row = by_row.groupBy("id", "key").agg(removed.alias("__removed"), F.sum("n").alias("__links"), F.min("head").alias("__head"))
-
-    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))).withColumn("__key", F.when(F.col("text").rlike(WORD), F.unhex(F.md5("text"))))
-    by_row = by_row.withColumnRenamed("id", "__id").withColumnRenamed("key", "__key")
-    out = keyed.join(by_row, ["__id", "__key"], "left").drop("__id", "__key")
-    text = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    inked = F.size(F.filter(text, lambda x: x.rlike(WORD))).cast("long")
+    hits = each.join(known, "sig").select("id", "row", "number", "n", F.col("first.id").alias("head"), (F.col("first") < F.struct("id", "row", "number")).alias("later"))
+    hits = saved(hits.groupBy("id", "row").agg(F.collect_set(F.when(F.col("later"), F.col("number"))).alias("removed"), F.collect_set(F.struct("number", "n")).alias("lines"), F.min("head").alias("head")))
+    hits = hits.select(F.col("id").alias("__id"), F.col("row").alias("__row"), F.col("removed").alias("__removed"), F.aggregate("lines", F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("__links"), F.col("head").alias("__head"))
+
+    text = F.coalesce("text", F.lit(""))
+    inked = F.size(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))).cast("long")
+    losing = hits.where(F.size("__removed") > 0)
+    shared = spark.sparkContext.broadcast(Bloom(losing.select("__row")))
+    loses = F.pandas_udf(lambda s: pd.Series(shared.value.has(s.to_numpy())), "boolean")(F.col("__row"))
+    docs = docs.withColumn("n_lines", inked).withColumn("__open", loses)
+    same = docs.where("not __open").withColumn("n_removed", F.lit(0).cast("long")).withColumn("kept_text", text)
+    cut = docs.where("__open").join(losing.select("__id", "__row", "__removed"), ["__id", "__row"], "left")
     gone = F.size("__removed")
-    kept = F.when(gone > 0, F.array_join(F.filter(text, lambda x, i: ~F.array_contains("__removed", i)), "\n")).otherwise(F.coalesce("text", F.lit("")))
-    head = F.when(F.col("__head") < 2**63 - 1, F.least(F.col("doc_id").cast("long"), F.col("__head")))
-    out = out.withColumn("n_lines", inked).withColumn("n_removed", F.coalesce(F.when(gone > 0, gone), F.lit(0)).cast("long")).withColumn("n_links", F.coalesce("__links", F.lit(0)).cast("long"))
-    out = out.withColumn("class_id", F.coalesce(head, F.col("doc_id").cast("long"))).withColumn("kept_text", kept)
-    out = out.withColumn("kept_sha256", F.sha2("kept_text", 256)).drop("__removed", "__links", "__head")
-    return out if with_text else out.drop("kept_text")
+    rest = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("__removed", i)), "\n")
+    cut = cut.withColumn("n_removed", F.coalesce(F.when(gone > 0, gone), F.lit(0)).cast("long")).withColumn("kept_text", F.when(gone > 0, rest).otherwise(text))
+    out = same.unionByName(cut.select(*same.columns)).drop("__open").withColumn("kept_sha256", F.sha2("kept_text", 256))
+    if not with_text:
+        out = out.drop("kept_text")
+    if with_links:
+        out = out.join(hits.select("__id", "__row", "__links", "__head"), ["__id", "__row"], "left")
+        head = F.when(F.col("__head") < 2**63 - 1, F.least(F.col("doc_id").cast("long"), F.col("__head")))
+        out = out.withColumn("n_links", F.coalesce("__links", F.lit(0)).cast("long")).withColumn("class_id", F.coalesce(head, F.col("doc_id").cast("long")))
+    return out.drop("__id", "__row", "__links", "__head")
