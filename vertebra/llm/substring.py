@@ -55,7 +55,7 @@ def factors(found: np.ndarray, window: int) -> list[tuple[int, int]]:
     return [(int(p[0]), int(p[-1]) + window) for p in np.split(found, cut)]
 
 
-def parse(docs: DataFrame, window: int = 35, run: int = 10, with_text: bool = False) -> DataFrame:
+def parse(docs: DataFrame, window: int = 35, run: int = 8, with_text: bool = False) -> DataFrame:
     """Adds n_words, n_removed, kept_sha256, spans (array of [start, end) in words) and, if asked, kept_text to each row.
 
     A word is removed if a window of `window` words over it also starts anywhere else in all documents.
@@ -74,6 +74,7 @@ def parse(docs: DataFrame, window: int = 35, run: int = 10, with_text: bool = Fa
     texts = docs.select(key.alias("key"), "text").where("key is not null").groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     texts = texts.select("text", F.conv(F.substring(F.hex("key"), 1, 15), 16, 10).cast("long").alias("id"), "key", "copies")
     reach = window - run + 1
+    # Each step below takes all columns of texts, so that they share one shuffle of the texts.
 
     def find_anchors(batches):
         for part in slices(batches, 0):
@@ -84,7 +85,7 @@ def parse(docs: DataFrame, window: int = 35, run: int = 10, with_text: bool = Fa
             ids = part.column(1).to_numpy()[text]
             yield pa.record_batch([pa.array(runs[chosen].view(np.int64)), pa.array(ids), pa.array((at[chosen] - words.first[text]).astype(np.int32))], names=["anchor", "id", "at"])
 
-    anchored = texts.select("text", "id").mapInArrow(find_anchors, "anchor long, id long, at int")
+    anchored = texts.mapInArrow(find_anchors, "anchor long, id long, at int")
     twice = anchored.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     open_ = anchored.join(twice, "anchor").groupBy("id").agg(F.collect_list("at").alias("at"))
 
@@ -106,10 +107,11 @@ def parse(docs: DataFrame, window: int = 35, run: int = 10, with_text: bool = Fa
             yield pa.record_batch([pa.array(one[ok].view(np.int64)), pa.array((two[ok] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(ids), pa.array(rel[ok].astype(np.int32))], names=["w1", "w2", "id", "at"])
 
     by_id = texts.select("id", "key").join(open_, "id").select("key", F.col("at").alias("spots"))
-    windows = texts.join(by_id, "key").select("text", "id", "spots").mapInArrow(find_windows, "w1 long, w2 int, id long, at int")
+    windows = texts.join(by_id, "key").select("text", "id", "spots", "copies").mapInArrow(find_windows, "w1 long, w2 int, id long, at int")
     again = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
     repeated = windows.join(again, ["w1", "w2"]).groupBy("id").agg(F.sort_array(F.collect_set(F.struct("at", "w1"))).alias("found"))
-    results = texts.join(texts.select("id", "key").join(repeated, "id").select("key", "found"), "key", "left").select("text", "key", "copies", "found")
+    found = texts.select("id", "key").join(repeated, "id").select("key", "found")
+    results = texts.join(found, "key", "left").select("text", "key", "copies", "found", "id")
 
     def finish(batches):
         for part in slices(batches, 0):
