@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -210,3 +211,8 @@ class Bloom:
         for at in self._places(keys):
             found &= (self.map[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
         return found
+
+    def test(self, key: Column) -> Column:
+        """has() of a column of longs."""
+        shared = SparkSession.active().sparkContext.broadcast(self)
+        return F.pandas_udf(lambda s: pd.Series(shared.value.has(s.to_numpy())), "boolean")(key)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -306,9 +305,7 @@ def dedup(docs: DataFrame, least: float = 0.8, with_text: bool = False, with_lin
     text = F.coalesce("text", F.lit(""))
     inked = F.size(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))).cast("long")
     losing = hits.where(F.size("__removed") > 0)
-    shared = spark.sparkContext.broadcast(Bloom(losing.select("__row")))
-    loses = F.pandas_udf(lambda s: pd.Series(shared.value.has(s.to_numpy())), "boolean")(F.col("__row"))
-    docs = docs.withColumn("n_lines", inked).withColumn("__open", loses)
+    docs = docs.withColumn("n_lines", inked).withColumn("__open", Bloom(losing.select("__row")).test(F.col("__row")))
     same = docs.where("not __open").withColumn("n_removed", F.lit(0).cast("long")).withColumn("kept_text", text)
     cut = docs.where("__open").join(losing.select("__id", "__row", "__removed"), ["__id", "__row"], "left")
     gone = F.size("__removed")

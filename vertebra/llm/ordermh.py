@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertebra.llm.common import WORD, Words, buffers, grams, mixed, saved, slices
+from vertebra.llm.common import WORD, Bloom, Words, buffers, grams, mixed, saved, slices
 
 _SEEDS = np.random.default_rng(77).integers(1, 2**63, size=64, dtype=np.uint64)
 
@@ -163,7 +163,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, m: int = 24
     pairs = saved(listed.where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")).distinct())
 
     wanted = listed.select("key").distinct().join(texts.select("key", "first_id"), "key").select("key", F.coalesce("first_id", F.lit(-(2**63))).alias("id"))
+    wanted = saved(wanted)
     source = rows.where("key is not null").select("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), "text")
+    source = source.where(Bloom(wanted.select(F.xxhash64("key", "id"))).test(F.xxhash64("key", "id")))
     candidates = saved(source.join(wanted, ["key", "id"]).dropDuplicates(["key"]).select("key", "text"))
 
     links = saved(verified(pairs, candidates, k, least))
@@ -193,11 +195,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, m: int = 24
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs whose doc_id is its class's class_id; of rows repeated with that doc_id, one.
 
-    Rows without a word are all kept. A row with a null doc_id is kept unless its class has an id.
+    Rows without a word are all kept. A row with a null doc_id is kept unless its class has an id. Only rows whose ids a
+    bitmap of fixed size can't clear of being removed or repeated are shuffled.
     """
-    classes = near_duplicates(docs, **options).select("doc_id", "class_id").distinct()
-    same = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    blank = docs.where(~F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
-    inked = docs.where(F.col("text").rlike(WORD))
-    kept = inked.join(same.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(blank)
+    classes = saved(near_duplicates(docs, **options).select("doc_id", "class_id"))
+    leaders = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
+    twice = classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    doubtful = classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").unionByName(twice)
+    inked = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    open_ = inked & Bloom(doubtful.select(F.xxhash64("doc_id"))).test(F.xxhash64("doc_id"))
+    marked = docs.withColumn("__open", open_)
+    leaders = leaders.select(F.col("doc_id").alias("__id"))
+    kept = marked.where("__open").join(leaders, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id"])
+    return marked.where("not __open").unionByName(kept).select(*docs.columns)
