@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertebra.llm.common import WORD, Words, buffers, grams, slices
+from vertebra.llm.common import WORD, Bloom, Words, buffers, grams, saved, slices
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -63,30 +63,34 @@ def parse(docs: DataFrame, window: int = 35, run: int = 8, with_text: bool = Fal
     1. Equal texts become one text with a count; in a text found twice each window is repeated.
     2. The reference index: anchors, runs of `run` words that are locally smallest by hash, of every text. Only anchors
        found twice can lie in a repeated window, and each repeated window has one.
-    3. Windows over such anchors are looked up, by 96-bit fingerprints, among all such windows of all texts.
-    4. Each text is parsed greedily into factors made of windows found; both ends of a factor are fingerprinted again
-       from the text before its words go.
+    3. Windows over such anchors are looked up, by 80-bit fingerprints, among all such windows of all texts.
+    4. Each text is parsed greedily into factors made of windows found. The text's own fingerprints at those places must
+       add up to those that were found, or its 64-bit id was another text's too and it keeps its words.
     Hot passages are counted before shuffles, never gathered. Rows of null or blank texts have no words and keep none.
     """
     ours = ["n_words", "n_removed", "kept_sha256", "spans", "kept_text"]
     docs = docs.select(*[c for c in docs.columns if c not in ours])
     key = F.when(F.col("text").rlike(WORD), F.unhex(F.md5("text")))
     texts = docs.select(key.alias("key"), "text").where("key is not null").groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    texts = texts.select("text", F.conv(F.substring(F.hex("key"), 1, 15), 16, 10).cast("long").alias("id"), "key", "copies")
+    texts = texts.select("text", F.xxhash64("key").alias("id"), "key", "copies")
     reach = window - run + 1
     # Each step below takes all columns of texts, so that they share one shuffle of the texts.
 
-    def find_anchors(batches):
+    def find_anchors(batches, wanted=None):
         for part in slices(batches, 0):
             words = Words(*buffers(part.column(0)))
             runs, at = grams(words.hashes(), words.first, run)
             chosen = anchors(runs, at, words.first, reach)
+            if wanted is not None:
+                chosen = chosen[wanted.value.has(runs[chosen].view(np.int64))]
             text = np.searchsorted(words.first, at[chosen], side="right") - 1
             ids = part.column(1).to_numpy()[text]
             yield pa.record_batch([pa.array(runs[chosen].view(np.int64)), pa.array(ids), pa.array((at[chosen] - words.first[text]).astype(np.int32))], names=["anchor", "id", "at"])
 
-    anchored = texts.mapInArrow(find_anchors, "anchor long, id long, at int")
-    twice = anchored.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    schema = "anchor long, id long, at int"
+    twice = saved(texts.mapInArrow(find_anchors, schema).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
+    likely = docs.sparkSession.sparkContext.broadcast(Bloom(twice))
+    anchored = texts.mapInArrow(lambda batches: find_anchors(batches, likely), schema)
     open_ = anchored.join(twice, "anchor").groupBy("id").agg(F.collect_list("at").alias("at"))
 
     def find_windows(batches):
@@ -104,21 +108,21 @@ def parse(docs: DataFrame, window: int = 35, run: int = 8, with_text: bool = Fal
             held = np.cumsum(marks)
             ok = held[np.minimum(at + reach, len(hashes))] > held[at]
             ids = part.column(1).to_numpy()[text[ok]]
-            yield pa.record_batch([pa.array(one[ok].view(np.int64)), pa.array((two[ok] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(ids), pa.array(rel[ok].astype(np.int32))], names=["w1", "w2", "id", "at"])
+            yield pa.record_batch([pa.array(one[ok].view(np.int64)), pa.array((two[ok] >> np.uint64(48)).astype(np.int32)), pa.array(ids), pa.array(rel[ok].astype(np.int32))], names=["w1", "w2", "id", "at"])
 
     by_id = texts.select("id", "key").join(open_, "id").select("key", F.col("at").alias("spots"))
     windows = texts.join(by_id, "key").select("text", "id", "spots", "copies").mapInArrow(find_windows, "w1 long, w2 int, id long, at int")
     again = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
-    repeated = windows.join(again, ["w1", "w2"]).groupBy("id").agg(F.sort_array(F.collect_set(F.struct("at", "w1"))).alias("found"))
-    found = texts.select("id", "key").join(repeated, "id").select("key", "found")
-    results = texts.join(found, "key", "left").select("text", "key", "copies", "found", "id")
+    repeated = windows.join(again, ["w1", "w2"]).groupBy("id").agg(F.sort_array(F.collect_list("at")).alias("found"), F.bit_xor("w1").alias("proof"))
+    found = texts.select("id", "key").join(repeated, "id").select("key", "found", "proof")
+    results = texts.join(found, "key", "left").select("text", "key", "copies", "found", "proof", "id")
 
     def finish(batches):
         for part in slices(batches, 0):
             data, offsets = buffers(part.column(0))
             words = Words(data, offsets)
             one, at = grams(words.hashes(), words.first, window)
-            sets, copies = part.column(3), part.column(2).to_pylist()
+            sets, copies, proofs = part.column(3), part.column(2).to_pylist(), part.column(4).to_pylist()
             n_words = np.diff(words.first)
             removed, sha, spans, texts = [], [], [], []
             for i, n in enumerate(n_words.tolist()):
@@ -126,13 +130,10 @@ def parse(docs: DataFrame, window: int = 35, run: int = 8, with_text: bool = Fal
                 if n >= window and copies[i] > 1:
                     cuts = [(0, n)]
                 elif sets[i].is_valid:
-                    found = sets[i].values
-                    starts, prints = found.field("at").to_numpy(), found.field("w1").to_numpy()
+                    starts = sets[i].values.to_numpy()
                     own = one[np.searchsorted(at, words.first[i]) :]
-                    for a, b in factors(starts, window):
-                        ends = np.searchsorted(starts, [a, b - window])
-                        if b <= n and (own[[a, b - window]].view(np.int64) == prints[ends]).all():
-                            cuts.append((a, b))
+                    if starts[-1] + window <= n and int(np.bitwise_xor.reduce(own[starts].view(np.int64))) == proofs[i]:
+                        cuts = factors(starts, window)
                 gone = np.zeros(n, dtype=bool)
                 for a, b in cuts:
                     gone[a:b] = True
