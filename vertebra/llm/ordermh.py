@@ -132,7 +132,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFr
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, m: int = 24, l: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, m: int = 24, l: int = 5, rounds: int = 2) -> DataFrame:
     """(doc_id, class_id, n_links, n_texts), one row per document: class_id is the smallest doc_id of its class.
 
     Documents with equal texts are one text from the start. Each text has m sketches of its l smallest labelled runs of k
@@ -140,9 +140,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, m: int = 24
     at least `least` are linked. A class is what links connect; n_links counts verified links of the document's text that
     the search needed, n_texts the different texts of its class.
 
-    No list of a sketch is expanded into pairs: first each text is compared with its list's smallest key only. Then lists
-    that still meet in more than one class compare the texts outside the list's largest class with all texts of other
-    classes there, so that no link between classes is left out, whatever the list's size.
+    No list of a sketch is expanded into pairs: first each text is compared with its list's smallest key only, then, for
+    some rounds, the texts outside the list's largest class with one text of that class. Lists that even then hold more
+    than one class compare the texts outside the largest with all texts of other classes there, so that no link between
+    classes is left out, whatever the list's size.
 
     Texts without a word (null too) are classes of their own. A null doc_id is the smallest of its class only if all are.
     """
@@ -170,18 +171,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, m: int = 24
 
     links = saved(verified(pairs, candidates, k, least))
     roots = components(links)
-    placed = listed.join(roots, "key", "left").select("list", "key", F.coalesce("root", "key").alias("root"))
-    per_class = placed.groupBy("list", "root").agg(F.count(F.lit(1)).alias("n"))
-    largest = per_class.groupBy("list").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "root"))["root"].alias("largest")).where("classes > 1")
-    open_ = saved(placed.join(largest, "list").select("list", "key", "root", (F.col("root") == F.col("largest")).alias("inside")))
-    rest = open_.where("not inside").select("list", F.col("key").alias("x"), F.col("root").alias("x_root"))
-    every = open_.select("list", F.col("key").alias("y"), F.col("root").alias("y_root"), "inside")
-    met = rest.join(every, "list").where((F.col("x_root") != F.col("y_root")) & (F.col("inside") | (F.col("x") < F.col("y"))))
-    more = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    found = saved(verified(more, candidates, k, least))
-    if found.limit(1).count():
-        links = links.unionByName(found)
-        roots = components(links)
+    for r in range(rounds + 1):
+        placed = listed.join(roots, "key", "left").select("list", "key", F.coalesce("root", "key").alias("root"))
+        per_class = placed.groupBy("list", "root").agg(F.count(F.lit(1)).alias("n"), F.min_by("key", F.xxhash64("key", F.lit(r))).alias("one"))
+        largest = per_class.groupBy("list").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "root", "one")).alias("largest")).where("classes > 1").select("list", "largest.root", "largest.one")
+        largest = largest.withColumnRenamed("root", "largest")
+        open_ = saved(placed.join(largest, "list").select("list", "key", "root", "one", (F.col("root") == F.col("largest")).alias("inside")))
+        rest = open_.where("not inside")
+        if r < rounds:
+            met = rest.select(F.col("key").alias("x"), F.col("one").alias("y"))
+        else:
+            every = open_.select("list", F.col("key").alias("y"), F.col("root").alias("y_root"), "inside")
+            met = rest.select("list", F.col("key").alias("x"), F.col("root").alias("x_root")).join(every, "list").where((F.col("x_root") != F.col("y_root")) & (F.col("inside") | (F.col("x") < F.col("y"))))
+        more = saved(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
+        found = saved(verified(more, candidates, k, least))
+        pairs = pairs.unionByName(more)
+        if found.limit(1).count():
+            links = links.unionByName(found)
+            roots = components(links)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
     member = texts.join(roots, "key").select("key", "root", "first_id")
