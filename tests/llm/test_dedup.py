@@ -188,6 +188,18 @@ def test_alignment():
         assert (got >= 0.8) == (want >= 0.8) and (want < 0.8 or abs(got - want) < 1e-12)
 
 
+def test_parities_lose_no_link():
+    """Texts at least 0.8 similar never differ in more parity bits than the bound allows."""
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 900)), dtype=np.uint64))
+        a = rng.permutation(a)
+        b = np.concatenate([np.delete(a, rng.integers(0, len(a), len(a) // 9)), rng.integers(0, 2**63, int(rng.integers(0, len(a) // 9 + 1)), dtype=np.uint64)])
+        apart = int(np.bitwise_count((ordermh.parities(a) ^ ordermh.parities(b)).view(np.uint64)).sum())
+        if ordermh.aligned(a, b, 0.8) >= 0.8:
+            assert apart <= (len(a) + len(b)) * 0.2 / 1.8 + 1e-6
+
+
 def test_hot_group_and_odd(spark, odd, none):
     """A third of the rows are copies, another third near copies of one text."""
     base = [f"w{i}" for i in range(120)]

@@ -6,11 +6,14 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vertebra.llm.common import WORD, Bloom, Words, buffers, grams, mixed, saved, slices
 
+#: Longs of a text's parity bits.
+PARITY_WORDS = 8
+
 _SEEDS = np.random.default_rng(77).integers(1, 2**63, size=64, dtype=np.uint64)
 
 
@@ -61,6 +64,22 @@ def mixed_one(x: np.uint64) -> np.uint64:
     return np.uint64(y ^ (y >> 31))
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """PARITY_WORDS longs: a bit flipped for each k-mer. Two texts differ in at least as many k-mers as these do in bits."""
+    flips = np.bincount((own & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(flips.astype(np.uint8)).view(np.int64)
+
+
+def reachable(x: str, y: str, least: float) -> Column:
+    """Whether two texts can be that similar, by the counts and parities of their k-mers in the structs x and y.
+
+    With matches / (n + m - matches) >= least, at most (n + m) (1 - least) / (1 + least) k-mers are unmatched.
+    """
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    apart = sum((F.bit_count(F.col(f"{x}.bits")[i].bitwiseXOR(F.col(f"{y}.bits")[i])) for i in range(1, PARITY_WORDS)), F.bit_count(F.col(f"{x}.bits")[0].bitwiseXOR(F.col(f"{y}.bits")[0])))
+    return (F.least(n, m) >= F.greatest(n, m) * least - 1e-6) & (apart <= (n + m) * ((1 - least) / (1 + least)) + 1e-6)
+
+
 def aligned(a: np.ndarray, b: np.ndarray, least: float) -> float:
     """Similarity of two sequences of labelled k-mers: matches of the best alignment by those in either.
 
@@ -140,7 +159,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, m: int = 24
     at least `least` are linked. A class is what links connect; n_links counts verified links of the document's text that
     the search needed, n_texts the different texts of its class.
 
-    No list of a sketch is expanded into pairs: first each text is compared with its list's smallest key only, then, for
+    Before texts are fetched, pairs whose counts and parities of runs show that they can't be similar enough are dropped;
+    that bound is exact, so no link goes with them. No list of a sketch is expanded into pairs: first each text is compared with its list's smallest key only, then, for
     some rounds, the texts outside the list's largest class with one text of that class. Lists that even then hold more
     than one class compare the texts outside the largest with all texts of other classes there, so that no link between
     classes is left out, whatever the list's size.
@@ -153,21 +173,31 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, m: int = 24
     def sketch(batches):
         for part in slices(batches, 0):
             words = Words(*buffers(part.column(0)))
-            out = [sketches(s, m, l).view(np.int64) for s in shingles(words, k)]
-            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(out, pa.list_(pa.int64()))], names=["key", "doc_id", "sketch"])
-
-    made = rows.where("key is not null").select("text", "key", F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(sketch, "key binary, doc_id long, sketch array<long>")
-    texts = saved(made.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("sketch").alias("sketch")))
+            out, sizes, bits = [], [], []
+            for s in shingles(words, k):
+                out.append(sketches(s, m, l).view(np.int64))
+                sizes.append(len(s))
+                bits.append(parities(s))
+            marks = pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), pa.array(bits, pa.list_(pa.int64()))], names=["n", "bits"])
+            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(out, pa.list_(pa.int64())), marks], names=["key", "doc_id", "sketch", "mark"])
+
+    made = rows.where("key is not null").select("text", "key", F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(sketch, "key binary, doc_id long, sketch array<long>, mark struct<n: int, bits: array<long>>")
+    texts = saved(made.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("sketch").alias("sketch"), F.first("mark").alias("mark")))
     listed = texts.select("key", F.posexplode("sketch").alias("r", "h")).select("key", F.xxhash64("r", "h").alias("list"))
     heads = listed.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("head")).where("n > 1")
     listed = saved(listed.join(heads, "list").select("list", "key", "head"))
-    pairs = saved(listed.where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")).distinct())
-
-    wanted = listed.select("key").distinct().join(texts.select("key", "first_id"), "key").select("key", F.coalesce("first_id", F.lit(-(2**63))).alias("id"))
+    wanted = listed.select("key").distinct().join(texts.select("key", "first_id", "mark"), "key").select("key", F.coalesce("first_id", F.lit(-(2**63))).alias("id"), "mark")
     wanted = saved(wanted)
+    marks = wanted.select("key", "mark")
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        x, y = marks.select(F.col("key").alias("a"), F.col("mark").alias("x")), marks.select(F.col("key").alias("b"), F.col("mark").alias("y"))
+        return pairs.join(x, "a").join(y, "b").where(reachable("x", "y", least)).select("a", "b")
+
+    pairs = saved(possible(listed.where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")).distinct()))
     source = rows.where("key is not null").select("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), "text")
     source = source.where(Bloom(wanted.select(F.xxhash64("key", "id"))).test(F.xxhash64("key", "id")))
-    candidates = saved(source.join(wanted, ["key", "id"]).dropDuplicates(["key"]).select("key", "text"))
+    candidates = saved(source.join(wanted.select("key", "id"), ["key", "id"]).dropDuplicates(["key"]).select("key", "text"))
 
     links = saved(verified(pairs, candidates, k, least))
     roots = components(links)
@@ -179,11 +209,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, m: int = 24
         open_ = saved(placed.join(largest, "list").select("list", "key", "root", "one", (F.col("root") == F.col("largest")).alias("inside")))
         rest = open_.where("not inside")
         if r < rounds:
-            met = rest.select(F.col("key").alias("x"), F.col("one").alias("y"))
+            met = possible(rest.select(F.least("key", "one").alias("a"), F.greatest("key", "one").alias("b")).distinct())
         else:
-            every = open_.select("list", F.col("key").alias("y"), F.col("root").alias("y_root"), "inside")
-            met = rest.select("list", F.col("key").alias("x"), F.col("root").alias("x_root")).join(every, "list").where((F.col("x_root") != F.col("y_root")) & (F.col("inside") | (F.col("x") < F.col("y"))))
-        more = saved(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
+            every = open_.join(marks, "key").select("list", F.col("key").alias("y"), F.col("root").alias("y_root"), "inside", F.col("mark").alias("y_mark"))
+            rest = rest.join(marks, "key").select("list", F.col("key").alias("x"), F.col("root").alias("x_root"), F.col("mark").alias("x_mark"))
+            ours = (F.col("x_root") != F.col("y_root")) & (F.col("inside") | (F.col("x") < F.col("y")))
+            met = rest.join(every, "list").where(ours & reachable("x_mark", "y_mark", least)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        more = saved(met.join(pairs, ["a", "b"], "left_anti"))
         found = saved(verified(more, candidates, k, least))
         pairs = pairs.unionByName(more)
         if found.limit(1).count():
