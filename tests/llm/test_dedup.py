@@ -211,3 +211,12 @@ def test_hot_group_and_odd(spark, odd, none):
     assert {r.doc_id: r.class_id for r in out.collect() if r.doc_id in (4, 5)} == {4: 4, 5: 4}
     kept = ordermh.one_of_each(odd)
     assert kept.where("doc_id = 6").count() == 1 and kept.where("doc_id in (4, 5)").count() == 1 and kept.where(F.col("text").isNull()).count() == 2 and kept.where("text = 'alpha beta gamma'").count() == 1
+
+
+def test_one_of_each_null_and_shared_ids(spark):
+    """A class's leader is a row and its text: different texts without an id, or with the same one, all stay."""
+    text = {c: " ".join(f"{c}{i}" for i in range(60)) for c in "abcdef"}
+    rows = [(None, text["a"]), (None, text["b"]), (None, text["b"]), (7, text["c"]), (7, text["d"]), (7, text["d"]), (9, text["e"]), (None, text["e"] + " more"), (8, text["f"]), (3, text["f"])]
+    kept = ordermh.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, text["a"]), (None, text["b"]), (7, text["c"]), (7, text["d"]), (9, text["e"]), (3, text["f"])]
+    assert sorted(kept, key=lambda r: r.text) == sorted(want, key=lambda r: r[1])

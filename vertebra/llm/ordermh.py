@@ -151,23 +151,8 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFr
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, m: int = 24, l: int = 5, rounds: int = 2) -> DataFrame:
-    """(doc_id, class_id, n_links, n_texts), one row per document: class_id is the smallest doc_id of its class.
-
-    Documents with equal texts are one text from the start. Each text has m sketches of its l smallest labelled runs of k
-    words, in text order; texts that share a sketch are candidates, and candidates whose runs align with a similarity of
-    at least `least` are linked. A class is what links connect; n_links counts verified links of the document's text that
-    the search needed, n_texts the different texts of its class.
-
-    Before texts are fetched, pairs whose counts and parities of runs show that they can't be similar enough are dropped;
-    that bound is exact, so no link goes with them. No list of a sketch is expanded into pairs: first each text is compared with its list's smallest key only, then, for
-    some rounds, the texts outside the list's largest class with one text of that class. Lists that even then hold more
-    than one class compare the texts outside the largest with all texts of other classes there, so that no link between
-    classes is left out, whatever the list's size.
-
-    Texts without a word (null too) are classes of their own. A null doc_id is the smallest of its class only if all are.
-    """
-    spark = docs.sparkSession
+def grouped(docs: DataFrame, k: int = 5, least: float = 0.8, m: int = 24, l: int = 5, rounds: int = 2) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """For near_duplicates(): rows (doc_id, text, key), texts (key, first_id, ...), roots (key, root) of linked texts, links (a, b)."""
     rows = docs.select("doc_id", "text").withColumn("key", F.when(F.col("text").rlike(WORD), F.unhex(F.md5("text"))))
 
     def sketch(batches):
@@ -221,7 +206,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, m: int = 24
         if found.limit(1).count():
             links = links.unionByName(found)
             roots = components(links)
+    return rows, texts, roots, links
+
 
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, class_id, n_links, n_texts), one row per document: class_id is the smallest doc_id of its class.
+
+    Documents with equal texts are one text from the start. Each text has m sketches of its l smallest labelled runs of k
+    words, in text order; texts that share a sketch are candidates, and candidates whose runs align with a similarity of
+    at least `least` are linked. A class is what links connect; n_links counts verified links of the document's text that
+    the search needed, n_texts the different texts of its class.
+
+    Before texts are fetched, pairs whose counts and parities of runs show that they can't be similar enough are dropped;
+    that bound is exact, so no link goes with them. No list of a sketch is expanded into pairs: first each text is compared with its list's smallest key only, then, for
+    some rounds, the texts outside the list's largest class with one text of that class. Lists that even then hold more
+    than one class compare the texts outside the largest with all texts of other classes there, so that no link between
+    classes is left out, whatever the list's size.
+
+    Texts without a word (null too) are classes of their own. A null doc_id is the smallest of its class only if all are.
+    """
+    rows, texts, roots, links = grouped(docs, **options)
     degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
     member = texts.join(roots, "key").select("key", "root", "first_id")
     classes = member.groupBy("root").agg(F.min("first_id").alias("class_id"), F.count(F.lit(1)).alias("n_texts"))
@@ -232,18 +236,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, m: int = 24
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose doc_id is its class's class_id; of rows repeated with that doc_id, one.
+    """The rows of docs that lead their class: of its texts the one with the smallest doc_id (null last, then by the
+    text's hash), in the row with that doc_id; of equal such rows, one.
 
-    Rows without a word are all kept. A row with a null doc_id is kept unless its class has an id. Only rows whose ids a
-    bitmap of fixed size can't clear of being removed or repeated are shuffled.
+    Rows without a word are all kept. A row with a null doc_id is kept unless its class has an id or another leader. Only
+    rows whose ids and texts a bitmap of fixed size can't clear of being removed or repeated are shuffled.
     """
-    classes = saved(near_duplicates(docs, **options).select("doc_id", "class_id"))
-    leaders = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    twice = classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    doubtful = classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").unionByName(twice)
+    rows, texts, roots, _ = grouped(docs, **options)
+    member = texts.select("key", "first_id").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    leaders = member.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("late"), "first_id", "key")).alias("one"))
+    leaders = saved(leaders.select(F.col("one.key").alias("__key"), F.col("one.first_id").alias("__id")))
+    every = rows.where("key is not null").groupBy("key", F.col("doc_id").cast("long").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    leads = F.col("__key").isNotNull() & F.col("id").eqNullSafe(F.col("__id"))
+    doubtful = every.join(leaders, F.col("key") == F.col("__key"), "left").where(~leads | (F.col("n") > 1)).select(F.xxhash64("id", "key"))
     inked = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
-    open_ = inked & Bloom(doubtful.select(F.xxhash64("doc_id"))).test(F.xxhash64("doc_id"))
-    marked = docs.withColumn("__open", open_)
-    leaders = leaders.select(F.col("doc_id").alias("__id"))
-    kept = marked.where("__open").join(leaders, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id"])
+    marked = docs.withColumn("__text", F.unhex(F.md5("text"))).withColumn("__own", F.col("doc_id").cast("long"))
+    marked = marked.withColumn("__open", inked & Bloom(doubtful).test(F.xxhash64("__own", "__text")))
+    same = (F.col("__text") == F.col("__key")) & F.col("__own").eqNullSafe(F.col("__id"))
+    kept = marked.where("__open").join(leaders, same, "left_semi").dropDuplicates(["__text"])
     return marked.where("not __open").unionByName(kept).select(*docs.columns)
