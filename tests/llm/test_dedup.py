@@ -220,3 +220,28 @@ def test_one_of_each_null_and_shared_ids(spark):
     kept = ordermh.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = [(None, text["a"]), (None, text["b"]), (7, text["c"]), (7, text["d"]), (9, text["e"]), (3, text["f"])]
     assert sorted(kept, key=lambda r: r.text) == sorted(want, key=lambda r: r[1])
+
+
+def test_short_texts_meet_exactly(spark):
+    """8 words against 9, where no sketch of 5 runs can meet, and all pairs of texts of at most 10 runs."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for g in range(40):
+        w = [f"s{g}x{i}" for i in range(int(rng.integers(8, 15)))]
+        rows += [(10 * g, " ".join(w)), (10 * g + 1, " ".join([*w, "end"][: 14])), (10 * g + 2, " ".join(["front", *w][: 14])), (10 * g + 3, " ".join([*w[:-1], "other"]))]
+    runs, parent = {k: runs_of(t) for k, t in rows}, {k: k for k, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, (a, _) in enumerate(rows):
+        for b, _ in rows[:i]:
+            if a // 10 == b // 10 and similarity(runs[a], runs[b]) >= 0.8:
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    eight = "one two three four five six seven eight"
+    rows += [(1000, eight), (1001, eight + " nine"), (1002, "zero " + eight), (1003, eight + " nine ten")]
+    got = {r.doc_id: r.class_id for r in ordermh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: root(k) for k in parent} | {k: 1000 for k in range(1000, 1004)}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,23 @@ def sketches(own: np.ndarray, m: int, l: int) -> np.ndarray:
     return out
 
 
+def shortened(own: np.ndarray, least: float) -> tuple[list[int], list[int]]:
+    """Hashes of the sequence of k-mers with every few of them left out, and how many those are.
+
+    Of a text's n k-mers at most n (1 - least) are unmatched in a pair of that similarity. So such a pair has a hash in
+    common: that of the matched k-mers.
+    """
+    out, gone = [], []
+    for d in range(int(len(own) * (1 - least) + 1e-9) + 1):
+        for kept in combinations(own, len(own) - d):
+            h = np.uint64(0)
+            for v in kept:
+                h = mixed_one(h ^ v)
+            out.append(int(h.view(np.int64)))
+            gone.append(d)
+    return out, gone
+
+
 def mixed_one(x: np.uint64) -> np.uint64:
     y = int(x)
     y = (y ^ (y >> 30)) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
@@ -158,20 +176,28 @@ def grouped(docs: DataFrame, k: int = 5, least: float = 0.8, m: int = 24, l: int
     def sketch(batches):
         for part in slices(batches, 0):
             words = Words(*buffers(part.column(0)))
-            out, sizes, bits = [], [], []
+            out, sizes, bits, short = [], [], [], []
             for s in shingles(words, k):
-                out.append(sketches(s, m, l).view(np.int64))
+                # a text similar to one of at most 2 l * least runs has at most 2 l, so it is met exactly
+                out.append(sketches(s, m, l).view(np.int64) if len(s) > 2 * l * least + 1e-9 else [])
+                short.append(shortened(s, least) if len(s) <= 2 * l else ([], []))
                 sizes.append(len(s))
                 bits.append(parities(s))
             marks = pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), pa.array(bits, pa.list_(pa.int64()))], names=["n", "bits"])
-            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(out, pa.list_(pa.int64())), marks], names=["key", "doc_id", "sketch", "mark"])
+            less = [pa.array([x[i] for x in short], pa.list_(t)) for i, t in enumerate((pa.int64(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(out, pa.list_(pa.int64())), *less, marks], names=["key", "doc_id", "sketch", "short", "gone", "mark"])
 
-    made = rows.where("key is not null").select("text", "key", F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(sketch, "key binary, doc_id long, sketch array<long>, mark struct<n: int, bits: array<long>>")
-    texts = saved(made.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("sketch").alias("sketch"), F.first("mark").alias("mark")))
+    made = rows.where("key is not null").select("text", "key", F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(sketch, "key binary, doc_id long, sketch array<long>, short array<long>, gone array<int>, mark struct<n: int, bits: array<long>>")
+    texts = saved(made.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("sketch").alias("sketch"), F.first("short").alias("short"), F.first("gone").alias("gone"), F.first("mark").alias("mark")))
     listed = texts.select("key", F.posexplode("sketch").alias("r", "h")).select("key", F.xxhash64("r", "h").alias("list"))
     heads = listed.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("head")).where("n > 1")
     listed = saved(listed.join(heads, "list").select("list", "key", "head"))
-    wanted = listed.select("key").distinct().join(texts.select("key", "first_id", "mark"), "key").select("key", F.coalesce("first_id", F.lit(-(2**63))).alias("id"), "mark")
+    less = texts.select("key", F.col("mark.n").alias("n"), F.explode(F.arrays_zip("short", "gone")).alias("x")).select("key", F.col("x.short").alias("h"), F.col("x.gone").alias("d"), (F.col("n") - F.col("x.gone")).alias("left"))
+    spare = F.floor(F.col("left") * ((1 - least) / least) + 1e-9)
+    fewest = less.groupBy("h", "left").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "key")).alias("head")).where((F.col("n") > 1) & (2 * F.col("head.d") <= spare))
+    met = less.join(fewest.select("h", "left", "head"), ["h", "left"]).where((F.col("key") != F.col("head.key")) & (F.col("d") + F.col("head.d") <= spare))
+    short = saved(met.select(F.col("head.key").alias("a"), F.col("key").alias("b")).distinct())
+    wanted = listed.select("key").union(short.select(F.explode(F.array("a", "b")))).distinct().join(texts.select("key", "first_id", "mark"), "key").select("key", F.coalesce("first_id", F.lit(-(2**63))).alias("id"), "mark")
     wanted = saved(wanted)
     marks = wanted.select("key", "mark")
 
@@ -179,7 +205,7 @@ def grouped(docs: DataFrame, k: int = 5, least: float = 0.8, m: int = 24, l: int
         x, y = marks.select(F.col("key").alias("a"), F.col("mark").alias("x")), marks.select(F.col("key").alias("b"), F.col("mark").alias("y"))
         return pairs.join(x, "a").join(y, "b").where(reachable("x", "y", least)).select("a", "b")
 
-    pairs = saved(possible(listed.where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")).distinct()))
+    pairs = saved(possible(listed.where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")).union(short.select(F.least("a", "b"), F.greatest("a", "b"))).distinct()))
     source = rows.where("key is not null").select("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), "text")
     source = source.where(Bloom(wanted.select(F.xxhash64("key", "id"))).test(F.xxhash64("key", "id")))
     candidates = saved(source.join(wanted.select("key", "id"), ["key", "id"]).dropDuplicates(["key"]).select("key", "text"))
@@ -214,7 +240,8 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
     Documents with equal texts are one text from the start. Each text has m sketches of its l smallest labelled runs of k
     words, in text order; texts that share a sketch are candidates, and candidates whose runs align with a similarity of
-    at least `least` are linked. A class is what links connect; n_links counts verified links of the document's text that
+    at least `least` are linked. Texts of at most 2 l runs also meet exactly, by what is left without the few runs that such
+    a similarity spares; who is similar enough to anyone there is so to the text with the fewest left out, and meets that one. A class is what links connect; n_links counts verified links of the document's text that
     the search needed, n_texts the different texts of its class.
 
     Before texts are fetched, pairs whose counts and parities of runs show that they can't be similar enough are dropped;
