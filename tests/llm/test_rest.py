@@ -137,6 +137,17 @@ def test_neighbours_odd(spark):
     assert [r.vec_id for r in best] == [0, 1, 2, 3, 4]
 
 
+def test_neighbours_of_an_outlier(spark):
+    """A leaf with fewer than k other rows is not the end: each query has k neighbours."""
+    rng = np.random.default_rng(1)
+    centres = np.eye(8)
+    rows = [(100 * g + i, (centres[g] + rng.normal(0, 1e-3, 8)).tolist()) for g in range(7) for i in range(1, 60)]
+    rows += [(800, centres[7].tolist()), (801, (centres[7] * 2).tolist()), (802, (centres[7] + 1e-3).tolist()), (800, (centres[7] * 3).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(df).where("query_id = 800").orderBy("rank").collect()
+    assert [r["rank"] for r in got] == [1, 2, 3, 4, 5] and 800 not in {r.vec_id for r in got}
+
+
 def test_pipeline(spark, sf_dir, docs):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "mixing", "encoding"]
     now, kept = docs, {}

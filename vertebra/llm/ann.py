@@ -38,10 +38,10 @@ class Tree:
                 node[mine] = a + (x[mine] @ self.centres[a:b].T).argmax(axis=1)
         return np.array([self.leaf_of[int(n)] for n in node], dtype=np.int64)
 
-    def nearest_leaves(self, q: np.ndarray, n: int) -> list[int]:
-        """The first n leaves that best-bin-first traversal visits for a unit vector."""
-        near, out, heap = self.centres @ q, [], [(0.0, -1)]
-        while heap and len(out) < n:
+    def nearest_leaves(self, q: np.ndarray, n: int, rows: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first n leaves that best-bin-first traversal visits for a unit vector, and more until they hold `least` rows."""
+        near, out, heap, held = self.centres @ q, [], [(0.0, -1)], 0
+        while heap and (len(out) < n or held < least):
             _, node = heapq.heappop(heap)
             if node in self.children:
                 a, b = self.children[node]
@@ -49,6 +49,7 @@ class Tree:
                     heapq.heappush(heap, (-float(near[c]), c))
             else:
                 out.append(self.leaf_of[node])
+                held += 0 if rows is None else int(rows[out[-1]])
         return out
 
 
@@ -128,7 +129,7 @@ def search(vectors: DataFrame, column: str = "embedding", every: int = 50, k: in
     """(query_id, rank, vec_id, score): the k nearest by cosine of each row whose vec_id is divisible by `every`.
 
     The tree is grown from about sample_rows rows chosen by a hash of the row, and the number of leaves to visit is set on
-    that sample; all rows are indexed. A leaf's rows are dealt to blocks of about block_rows, so that a vector that holds
+    that sample, but a query goes on until its leaves hold k rows besides those of its own vec_id; all rows are indexed. A leaf's rows are dealt to blocks of about block_rows, so that a vector that holds
     a third of all rows is many blocks; queries meet a block together, as one product of matrices. Candidates that tie
     with a block's k-th are all scored again, row by row in double precision, so equal vectors get equal scores and ties
     go to the smaller vec_id. Vectors that are null, zero, of another than the commonest length or not finite take no
@@ -146,22 +147,32 @@ def search(vectors: DataFrame, column: str = "embedding", every: int = 50, k: in
     sample = sample[np.lexsort(sample.T)]
     sample = sample[np.random.default_rng(1).permutation(len(sample))]
     tree = grow(sample, branches, leaf_rows, most_leaves)
-    shared = spark.sparkContext.broadcast((tree, calibrate(tree, sample, k, recall)))
+
+    def count(batches):
+        for b in batches:
+            if len(b):
+                leaf, n = np.unique(tree.assign(unit(np.array(b.column(0).flatten()).reshape(len(b), -1))), return_counts=True)
+                yield pa.record_batch([pa.array(leaf), pa.array(n)], names=["leaf", "n"])
+
+    held = np.zeros(tree.leaves, dtype=np.int64)
+    for r in rows.select("v").mapInArrow(count, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect():
+        held[r.leaf] = r.n
+    shared = spark.sparkContext.broadcast((tree, calibrate(tree, sample, k, recall), held))
     packed = "leaf long, vec_id long, v binary"
 
     def index(batches):
-        tree, _ = shared.value
+        tree = shared.value[0]
         for b in batches:
             if len(b):
                 x = np.array(b.column(1).flatten()).reshape(len(b), -1)
                 yield pa.record_batch([pa.array(tree.assign(unit(x))), b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["leaf", "vec_id", "v"])
 
     def visits(batches):
-        tree, n = shared.value
+        tree, n, held = shared.value
         for b in batches:
             if len(b):
                 x = np.array(b.column(1).flatten()).reshape(len(b), -1)
-                lists = [tree.nearest_leaves(q, n) for q in unit(x)]
+                lists = [tree.nearest_leaves(q, n, held, k + own) for q, own in zip(unit(x), b.column(2).to_pylist(), strict=True)]
                 which = np.repeat(np.arange(len(b)), [len(y) for y in lists])
                 raw = [r.tobytes() for r in x]
                 yield pa.record_batch([pa.array([z for y in lists for z in y], pa.int64()), b.column(0).take(pa.array(which)), pa.array([raw[i] for i in which], pa.binary())], names=["leaf", "vec_id", "v"])
@@ -174,7 +185,10 @@ def search(vectors: DataFrame, column: str = "embedding", every: int = 50, k: in
         return dealt.groupBy("leaf", "part").agg(F.collect_list(F.struct("vec_id", "v")).alias("rows"))
 
     indexed = blocks(rows.mapInArrow(index, packed))
-    asked = blocks(rows.where(F.col("vec_id") % every == 0).mapInArrow(visits, packed))
+    queries = rows.where(F.col("vec_id") % every == 0)
+    own = queries.groupBy("vec_id").agg(F.count(F.lit(1)).alias("own")).where("own > 1")
+    queries = queries.join(own, "vec_id", "left").select("vec_id", "v", F.coalesce("own", F.lit(1)).alias("own"))
+    asked = blocks(queries.mapInArrow(visits, packed))
     pairs = indexed.select("leaf", F.col("rows").alias("c")).join(asked.select("leaf", F.col("rows").alias("q")), "leaf")
 
     def compare(frames):
