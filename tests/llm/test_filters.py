@@ -93,6 +93,31 @@ def test_fuzzy_trie():
     assert trie.strength("1d1ot") == 1.0 and trie.strength("id1ot") == 0.7
 
 
+def test_first_letter_and_leading_symbols():
+    trie = toxicity.FuzzyTrie(["abcdef", "worthless", "pat*"])
+    for word in ("bcdef", "xbcdef", "xabcdef", "@bcdef", "*bcdef", "orthles", "vorthles"):
+        assert trie.strength(word) > 0, word
+    assert trie.strength("@bcdef") == trie.strength("*abcdef") == 1.0 and trie.edits("cdef") is None and trie.strength("xpat") == 0
+    assert toxicity.hits_of("so @bcdef, !abcdef **** *", trie, set()) == (3, [("@bcdef", 1.0, False), ("!abcdef", 1.0, False)])
+    few = toxicity.FuzzyTrie(["abcdef", "worthless"], most_items=10)
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        w = list(("abcdef", "worthless")[rng.integers(2)])
+        for _ in range(rng.integers(3)):
+            i = rng.integers(0, len(w) + 1)
+            w[i : i + rng.integers(2)] = [] if rng.random() < 0.3 else [chr(97 + rng.integers(26))]
+        found = [brute("^" + "".join(w), ["^" + x]) for x in ("abcdef", "worthless")]
+        if len(w) > 3:
+            row = {x: toxicity.FuzzyTrie([x]).edits("".join(w)) for x in ("abcdef", "worthless")}
+            assert few.edits("".join(w)) == min((e for e in row.values() if e is not None), default=None)
+            assert row == dict(zip(row, found, strict=True))
+
+
+def test_full_words_stay_under_prefixes():
+    found = {"wort*": 50, "worth*": 20, "worthless": 20, "worthier": 18}
+    assert toxicity.lexicon(found, 10) == ["wort*", "worthier", "worthless"]
+
+
 def test_quotation_counts_less():
     trie = toxicity.FuzzyTrie(["idiot"])
     plain, quoted = toxicity.features("you idiot go away", trie, set()), toxicity.features('he said "idiot" to them', trie, set())

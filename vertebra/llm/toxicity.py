@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from vertebra.llm.common import few_or_plain, learnable, saved, slices, with_fields
 
-TOKEN = re.compile(r"[^\W_](?:[\w@$*!]*[^\W_])?|[\"“”„«»]")
+# A word may start with symbols that stand for letters; their run is read once, so that long rows of them cost no more.
+LEADS = "@$*!"
+TOKEN = re.compile(r"(?:(?<![@$*!])[@$*!]++)?[^\W_](?:[\w@$*!]*[^\W_])?|[\"“”„«»]")
 LEET = str.maketrans("013457@$!", "oieastasi")
 # Marks and verbs that announce a quotation.
 QUOTE_MARKS = {'"', "“", "”", "„", "«", "»"}
@@ -25,15 +27,15 @@ class FuzzyTrie:
 
     A state is a set of (trie node, edits so far); reading a character keeps it, changes it, skips it or skips a trie
     character, as the Levenshtein automaton of each term would. Sets and moves are remembered, so a word costs one look-up
-    per character and most words end after a few. The first character must fit; prefixes must fit exactly; words of at
-    least 5 (9) characters may have 1 (2) edits.
+    per character and most words end after a few. Edits may be anywhere, the first character included; prefixes must fit
+    exactly; words of at least 5 (9) characters may have 1 (2) edits. What is remembered is bounded, and then made anew.
     """
 
-    def __init__(self, terms: list[str], most_words: int = 200_000):
+    def __init__(self, terms: list[str], most_words: int = 200_000, most_items: int = 1_000_000):
         self.children: list[dict[str, int]] = [{}]
         self.ends: dict[int, int] = {}
         self.stars: set[int] = set()
-        self.most_words = most_words
+        self.most_words, self.most_items = most_words, most_items
         for term in sorted(terms):
             node = 0
             for c in term.rstrip("*"):
@@ -46,11 +48,18 @@ class FuzzyTrie:
             else:
                 self.ends[node] = 2 if len(term) >= 9 else 1 if len(term) >= 5 else 0
         self.deepest = self._deepest()
+        first: dict[int, int] = {}
+        self._add(first, 0, 0)
+        self.first = frozenset(first.items())
+        self._forget()
+        self.known: dict[str, float] = {}
+
+    def _forget(self) -> None:
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
-        self.start = self._state(frozenset({(0, 0)}))
-        self.known: dict[str, float] = {}
+        self.items = 0
+        self.start = self._state(self.first)
 
     def _deepest(self) -> list[int]:
         """The most edits that any word below a node allows."""
@@ -64,30 +73,33 @@ class FuzzyTrie:
             self.states[items] = len(self.sets)
             self.sets.append(items)
             self.moves.append({})
+            self.items += len(items) + 1
         return self.states[items]
 
+    def _add(self, out: dict[int, int], node: int, edits: int) -> None:
+        """A node reached with so many edits, and those that skipping trie characters reaches from there."""
+        if edits <= self.deepest[node] and edits < out.get(node, 99):
+            out[node] = edits
+            for child in self.children[node].values():
+                self._add(out, child, edits + 1)
+
     def _step(self, state: int, c: str) -> int:
         out: dict[int, int] = {}
-
-        def add(node: int, edits: int) -> None:
-            if edits <= self.deepest[node] and edits < out.get(node, 99):
-                out[node] = edits
-                for child in self.children[node].values():
-                    add(child, edits + 1)
-
         for node, edits in self.sets[state]:
             if c in self.children[node]:
-                add(self.children[node][c], edits)
-            if node:
-                add(node, edits + 1)
+                self._add(out, self.children[node][c], edits)
+            if edits < self.deepest[node]:
+                self._add(out, node, edits + 1)
                 for child in self.children[node].values():
-                    add(child, edits + 1)
+                    self._add(out, child, edits + 1)
         to = self._state(frozenset(out.items()))
         self.moves[state][c] = to
         return to
 
     def edits(self, word: str) -> int | None:
         """Fewest edits to a term that allows them; None if there is none."""
+        if self.items > self.most_items:
+            self._forget()
         state = self.start
         for c in word:
             to = self.moves[state].get(c)
@@ -100,12 +112,15 @@ class FuzzyTrie:
         return min((e for n, e in self.sets[state] if e <= self.ends.get(n, -1)), default=None)
 
     def strength(self, word: str) -> float:
-        """1 for a term, 0.7 and 0.5 for one and two edits, else 0."""
+        """1 for a term, 0.7 and 0.5 for one and two edits, else 0; leading symbols count as letters or not at all."""
         got = self.known.get(word)
         if got is None:
-            e = self.edits(word)
-            if e is None and not word.isalpha():
-                e = self.edits(word.translate(LEET))
+            bare = word.lstrip(LEADS)
+            e = self.edits(bare)
+            if e is None and not bare.isalpha():
+                e = self.edits(bare.translate(LEET))
+            if bare != word and e != 0:
+                e = min((x for x in (e, self.edits(word), self.edits(word.translate(LEET))) if x is not None), default=None)
             got = 0.0 if e is None else (1.0, 0.7, 0.5)[e]
             if len(self.known) >= self.most_words:
                 self.known.clear()
@@ -129,10 +144,10 @@ def hits_of(text: str, trie: FuzzyTrie, exceptions: set[str], window: int = 6) -
     for i in found:
         w = tokens[i]
         s = strength(w)
-        if s < 1 and w in exceptions:
+        if s < 1 and (w in exceptions or w.lstrip(LEADS) in exceptions):
             continue
         near = tokens[max(0, i - window) : i + window + 1]
-        out.append((w, s, any(x in QUOTE_MARKS or x in REPORTING for x in near)))
+        out.append((w, s, any(x in QUOTE_MARKS or x.lstrip(LEADS) in REPORTING for x in near)))
     return len(tokens), out
 
 
@@ -165,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 4096, most_byt
         for part in slices(batches, 1, 1 << 20):
             seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
             for y, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                words = {w.translate(LEET) if not w.isalpha() else w for w in TOKEN.findall(text.lower())}
+                words = {w.translate(LEET) if not w.isalpha() else w for w in (x.lstrip(LEADS) for x in TOKEN.findall(text.lower()))}
                 words = {w for w in words if 4 <= len(w) <= 40}
                 seen[y].update(words)
                 seen[y].update({w[:n] + "*" for w in words for n in range(3, min(9, len(w)))})
@@ -217,21 +232,26 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 4096, most_byt
 
 
 def lexicon(found: dict[str, int], most: int) -> list[str]:
-    """Of the terms and the number of texts with each, those that no other makes needless."""
+    """Of the terms and the number of texts with each, those that no other makes needless.
+
+    Full words under a prefix stay for their misspellings, up to `most` besides the others.
+    """
     longer: Counter = Counter()
     for term, n in found.items():
         stem = term.rstrip("*")
         parent = stem[:-1] + "*"
         longer[parent] = max(longer[parent], n)
     stars = {t for t, n in found.items() if t.endswith("*") and longer[t] < 0.8 * n}
-    keep = []
+    keep, under = [], []
     for term in sorted(found, key=lambda t: (-found[t], t)):
         if term.endswith("*") and term not in stars:
             continue
         stem = term.rstrip("*")
         if not any(stem[:k] + "*" in stars for k in range(3, len(stem) if term.endswith("*") else len(stem))):
             keep.append(term)
-    return sorted(keep[:most])
+        elif not term.endswith("*"):
+            under.append(term)
+    return sorted(keep[:most] + under[:most])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.05, steps: int = 50) -> list[float]:
