@@ -116,6 +116,27 @@ def test_lines_random(spark):
     assert got == lines_wanted(rows)
 
 
+def test_line_classes(spark):
+    """On a chain of similar lines, and through documents that hold lines of two chains, all have one class."""
+    w = [f"c{i}" for i in range(20)]
+    chain = [" ".join(w[:10]), " ".join([*w[:9], "x"]), " ".join([*w[:8], "x", "y"]), " ".join([*w[:7], "x", "y", "z"])]
+    rows = [(5, chain[0]), (4, chain[1]), (3, chain[2]), (2, chain[3] + "\nbridge of words"), (9, "bridge of words"), (7, "all alone"), (None, chain[0]), (None, "nobody else"), (11, "only null"), (None, "only null")]
+    out = linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), least=0.8).select("doc_id", "class_id", "n_links").collect()
+    assert sorted((r.doc_id or 0, r.class_id or 0) for r in out) == [(0, 0), (0, 2), (0, 11), (2, 2), (3, 2), (4, 2), (5, 2), (7, 7), (9, 2), (11, 11)]
+
+
+def test_rarity_and_blocks():
+    n = np.unique(np.concatenate([np.arange(3000), np.logspace(1, 9.3, 4000).astype(np.int64)]))
+    r = linededup.rarity(n)
+    assert (np.diff(r) >= 0).all() and r.max() < 1 << 14 and len(set(r[1:1024].tolist())) == 1023 and linededup.rarity(np.array([20_000]))[0] < linededup.rarity(np.array([10**6]))[0]
+    sig = np.random.default_rng(2).integers(0, 2**63, 60, dtype=np.uint64)
+    row, token = linededup.dealt(np.full(60, 77, dtype=np.uint64), sig, np.full(60, 60), 9)
+    tasks = defaultdict(set)
+    for i, t in zip(row.tolist(), token.tolist(), strict=True):
+        tasks[t].add(i)
+    assert len(tasks) > 20 and max(map(len, tasks.values())) < 40 and all(any({i, j} <= x for x in tasks.values()) for i in range(60) for j in range(i))
+
+
 def test_lines_odd(odd, none):
     out = linededup.dedup(odd, with_text=True)
     rows = {(r.doc_id, r.text): r for r in out.collect()}

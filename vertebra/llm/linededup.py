@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vertebra.llm.common import WORD, Bloom, Words, buffers, mixed, saved, slices
+from vertebra.llm.ordermh import components
 
 #: Words are counted in 2**21 hash buckets, in chunks of 2**16: the table of counts is 8 MB for any corpus.
 BUCKET_BITS, CHUNK_BITS = 21, 16
+#: A word in more lines than this is dealt to blocks of about so many.
+BLOCK_LINES = 1 << 17
 #: Columns of prefix rows as they are sent; of a word's hash, 5 bytes.
 ROW = {"token": "<u8", "sig": "<u8", "bits": "<u8", "n": "<i4", "at": "<i4"}
 
@@ -111,8 +114,26 @@ def word_counts(survey: DataFrame) -> np.ndarray:
     return out
 
 
-def prefixes(lines: Lines, which: np.ndarray, counts: np.ndarray, p: int, q: int) -> dict[str, np.ndarray]:
-    """Prefix rows of the chosen lines: words by rarity (bucket count up to 2**14, then hash), the first n - ceil(n p / q) + 1.
+def rarity(often: np.ndarray) -> np.ndarray:
+    """Counts in 14 bits, exact up to 2**10, then to one part in 2**9: the upper bits of a float, so the same everywhere."""
+    return np.maximum((often.astype(np.float64).view(np.int64) >> 43) - (1023 << 9), 0)
+
+
+def dealt(token: np.ndarray, sig: np.ndarray, often: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which row, word hash) as sent: rows of a word in more than `lines` lines go once to each pair of blocks that theirs is in.
+
+    A word's rows are in ceil(often / lines) blocks by set. Any two rows are together under the hash of their blocks' pair.
+    """
+    blocks = np.maximum(-(-often.astype(np.int64) // lines), 1)
+    at = np.repeat(np.arange(len(token)), blocks)
+    own, n = (mixed(sig) % blocks.astype(np.uint64)).astype(np.int64)[at], blocks[at]
+    other = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    pair = (np.minimum(own, other) * n + np.maximum(own, other)).astype(np.uint64)
+    return at, np.where(n > 1, mixed(token[at] + mixed(pair + np.uint64(1))), token[at])
+
+
+def prefixes(lines: Lines, which: np.ndarray, counts: np.ndarray, p: int, q: int, block_lines: int = BLOCK_LINES) -> dict[str, np.ndarray]:
+    """Prefix rows of the chosen lines: words by rarity (of the bucket count, then hash), the first n - ceil(n p / q) + 1.
 
     Words found once in all texts keep their place but are left out, since no other line has them. bits has a bit
     flipped for each word, so that two sets differ in at least as many words as their bits do.
@@ -122,7 +143,7 @@ def prefixes(lines: Lines, which: np.ndarray, counts: np.ndarray, p: int, q: int
     mine = chosen[lines.line]
     tokens, line = lines.tokens[mine], lines.line[mine]
     often = counts[bucket(tokens)]
-    order = by_line(line, (np.minimum(often, (1 << 14) - 1), 14), (tokens, 64))
+    order = by_line(line, (rarity(often), 14), (tokens, 64))
     tokens, line, often = tokens[order], line[order], often[order]
     n = lines.n[line]
     begin = np.searchsorted(line, line)
@@ -132,7 +153,9 @@ def prefixes(lines: Lines, which: np.ndarray, counts: np.ndarray, p: int, q: int
     bits = np.bitwise_xor.reduceat(flips, heads) if len(heads) else flips
     use = (at < n - -(-n * p // q) + 1) & (often > 1)
     bits = np.repeat(bits, np.diff(np.append(heads, len(line))))[use]
-    return {"token": tokens[use] >> np.uint64(24), "sig": lines.sig[line[use]], "bits": bits, "n": n[use].astype("<i4"), "at": at[use].astype("<i4")}
+    sig = lines.sig[line[use]]
+    row, token = dealt(tokens[use], sig, often[use], block_lines)
+    return {"token": token >> np.uint64(24), "sig": sig[row], "bits": bits[row], "n": n[use][row].astype("<i4"), "at": at[use][row].astype("<i4")}
 
 
 def joined(rows: dict[str, np.ndarray], p: int, q: int, most: int = 1 << 21):
@@ -272,7 +295,8 @@ def dedup(docs: DataFrame, least: float = 0.8, with_text: bool = False, with_lin
     Lines are \\n-separated and compared as sets of words; a line is removed if an earlier line of any document (by
     doc_id, null last, then a hash of the row, then line number) has a Jaccard similarity of at least `least` with it,
     judged on the input. Blank lines have no set, are not counted and stay. n_links counts the links to different sets of
-    all the document's lines; class_id is the smallest doc_id with a line like one of its own. Equal rows fare alike.
+    all the document's lines; class_id is the smallest doc_id of the documents that equal or linked lines connect with it, by
+    any number of steps. Equal rows fare alike.
 
     Only texts that lose lines are shuffled. They, and those whose words verification needs, are picked by bitmaps of
     fixed size, which let a few others through and hold none back.
@@ -298,9 +322,9 @@ def dedup(docs: DataFrame, least: float = 0.8, with_text: bool = False, with_lin
     both = links.select(F.col("a").alias("sig"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("sig"), F.col("a").alias("other")))
     near = both.join(firsts.select(F.col("sig").alias("other"), "first"), "other").groupBy("sig").agg(F.min("first").alias("near"), F.count(F.lit(1)).alias("n"))
     known = firsts.join(near, "sig", "left").where("times > 1 or n is not null").select("sig", F.least("first", "near").alias("first"), F.coalesce("n", F.lit(0)).alias("n"))
-    hits = each.join(known, "sig").select("id", "row", "number", "n", F.col("first.id").alias("head"), (F.col("first") < F.struct("id", "row", "number")).alias("later"))
-    hits = saved(hits.groupBy("id", "row").agg(F.collect_set(F.when(F.col("later"), F.col("number"))).alias("removed"), F.collect_set(F.struct("number", "n")).alias("lines"), F.min("head").alias("head")))
-    hits = hits.select(F.col("id").alias("__id"), F.col("row").alias("__row"), F.col("removed").alias("__removed"), F.aggregate("lines", F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("__links"), F.col("head").alias("__head"))
+    hits = each.join(known, "sig").select("id", "row", "sig", "number", "n", (F.col("first") < F.struct("id", "row", "number")).alias("later"))
+    hits = saved(hits.groupBy("id", "row").agg(F.collect_set(F.when(F.col("later"), F.col("number"))).alias("removed"), F.collect_set(F.struct("number", "n")).alias("lines"), F.collect_set("sig").alias("sigs")))
+    hits = hits.select(F.col("id").alias("__id"), F.col("row").alias("__row"), F.col("removed").alias("__removed"), F.aggregate("lines", F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("__links"), F.col("sigs").alias("__sigs"))
 
     text = F.coalesce("text", F.lit(""))
     inked = F.size(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))).cast("long")
@@ -315,7 +339,11 @@ def dedup(docs: DataFrame, least: float = 0.8, with_text: bool = False, with_lin
     if not with_text:
         out = out.drop("kept_text")
     if with_links:
-        out = out.join(hits.select("__id", "__row", "__links", "__head"), ["__id", "__row"], "left")
+        held = hits.select("__id", "__row", F.explode("__sigs").alias("sig"))
+        roots = components(links.unionByName(held.select(F.col("__row").alias("a"), F.col("sig").alias("b"))))
+        member = hits.select("__id", "__row", "__links").join(roots, F.col("__row") == F.col("key")).drop("key")
+        heads = member.groupBy("root").agg(F.min("__id").alias("__head"))
+        out = out.join(member.join(heads, "root").select("__id", "__row", "__links", "__head"), ["__id", "__row"], "left")
         head = F.when(F.col("__head") < 2**63 - 1, F.least(F.col("doc_id").cast("long"), F.col("__head")))
         out = out.withColumn("n_links", F.coalesce("__links", F.lit(0)).cast("long")).withColumn("class_id", F.coalesce(head, F.col("doc_id").cast("long")))
     return out.drop("__id", "__row", "__links", "__head")
