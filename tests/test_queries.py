@@ -28,5 +28,22 @@ def test_equals_sql(spark, sf_dir, sql, name):
     assert sorted(repr(tuple(r)) for r in got.select(*columns).collect()) == want
 
 
+def test_traversals_reach_all(spark, sf_dir, sql):
+    """No id bound: every order, every customer with orders, and every vertex near the start passes through."""
+    q, one = entry.queries(), lambda s: sql.execute(s).fetchone()[0]
+    assert q["expand_one_hop_all"](spark, sf_dir).count() == one("SELECT count(*) FROM orders")
+    assert q["expand_two_hop_all"](spark, sf_dir).select("customer").distinct().count() == one("SELECT count(DISTINCT o_custkey) FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
+    assert q["lazy_property_filter_all"](spark, sf_dir).where("order_id > 500").count() == one("SELECT count(*) FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 45 AND l_orderkey >= 500")
+    near = {(r.label_id, r.id): r.steps for r in q["var_length_reachability_all"](spark, sf_dir).collect()}
+    edges = sql.execute("SELECT 6, c_custkey + 1, 4, c_nationkey + 1 FROM customer UNION ALL SELECT 4, n_nationkey + 1, 3, n_regionkey + 1 FROM nation UNION ALL SELECT 7, s_suppkey + 1, 4, s_nationkey + 1 FROM supplier").fetchall()
+    want = {(6, 1): 0}
+    for n in range(1, 5):
+        for a, b, c, d in edges:
+            for x, y in (((a, b), (c, d)), ((c, d), (a, b))):
+                if want.get(x, 9) == n - 1:
+                    want.setdefault(y, n)
+    assert near == want
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 5

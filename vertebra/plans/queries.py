@@ -445,6 +445,40 @@ def var_length_reachability(g: GraphView) -> DataFrame:
     return traverse.reachable(g.vertices(6).where("id = 1"), adjacency.both_ways(e), 4, direction=None)
 
 
+# The four traversals above whose SQL starts from few ids, from all vertices and over all edges
+
+
+@query(f"SELECT id, start_id, end_id FROM {PLACED}")
+def expand_one_hop_all(g: GraphView) -> DataFrame:
+    out = traverse.expand(g.vertices(6).select("label_id", "id"), adjacency.both_ways(g.edges(5)))
+    return out.select(F.col("edge_id").alias("id"), F.col("id").alias("start_id"), F.col("other_id").alias("end_id"))
+
+
+@query("SELECT o_custkey + 1 AS customer, l_partkey + 1 AS part, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2")
+def expand_two_hop_all(g: GraphView) -> DataFrame:
+    start = g.vertices(6).select("label_id", "id", F.col("id").alias("customer"))
+    there = traverse.step(traverse.step(start, adjacency.both_ways(g.edges(5))), adjacency.both_ways(g.edges(6)))
+    return there.groupBy("customer", F.col("id").alias("part")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT l_orderkey + 1 AS order_id, l_partkey + 1 AS part_id FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 45")
+def lazy_property_filter_all(g: GraphView) -> DataFrame:
+    every = traverse.expand(g.vertices(9).select("label_id", "id"), adjacency.both_ways(g.edges(6)))
+    rows = traverse.with_properties(every.select(F.col("id").alias("order_id"), "other_label", "other_id"), g.vertices(8), "other_label", "other_id")
+    big = gtype.property_of(gtype.plain_variant(F.col("properties")), "$.size", "int") > 45
+    return rows.where(big).select("order_id", F.col("other_id").alias("part_id"))
+
+
+@query("""WITH RECURSIVE e AS (
+  SELECT 6000000000 + c_custkey AS a, 4000000000 + c_nationkey AS b FROM customer
+  UNION ALL SELECT 4000000000 + n_nationkey, 3000000000 + n_regionkey FROM nation UNION ALL SELECT 7000000000 + s_suppkey, 4000000000 + s_nationkey FROM supplier),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(v, steps) AS (SELECT 6000000000::BIGINT, 0 UNION SELECT u.b, steps + 1 FROM r JOIN u ON u.a = r.v WHERE steps < 4)
+SELECT (v // 1000000000)::INTEGER AS label_id, v % 1000000000 + 1 AS id, min(steps)::INTEGER AS steps FROM r GROUP BY 1, 2""")
+def var_length_reachability_all(g: GraphView) -> DataFrame:
+    return traverse.reachable(g.vertices(6).where("id = 1"), adjacency.both_ways(g.edges(3, 4)), 4, direction=None)
+
+
 # Relational work over graph tables
 
 
