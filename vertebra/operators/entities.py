@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vertebra.tables import saved
+
 VERTEX = "graph_id int, label_id int, id long, dictionary_id short, properties string, annotations array<string>"
 EDGE = "graph_id int, label_id int, id long, dictionary_id short, start_label int, start_id long, end_label int, end_id long, properties string, annotations array<string>"
 KEY = ["graph_id", "label_id", "id"]
@@ -15,20 +17,22 @@ def numbered(rows: DataFrame, group: str, order: list[str], start: DataFrame | N
     """Adds out: 1, 2, ... within each group in the given order, plus the group's start (columns group, start).
 
     Rows are range-partitioned by the order; a partition's rows follow those of the partitions before it, so no group
-    passes through one task. What is added up in between is one count per partition and group.
+    passes through one task. Rows with their partition and their place in it are written once, and the counts are taken
+    from what was written, so both mean the same partitions. What is added up in between is one count per partition and
+    group. Rows that tie in the order are numbered in any order among themselves. A row without a count is an error.
     """
     dealt = rows.repartitionByRange(*[F.col(c) for c in order]).withColumn("__part", F.spark_partition_id())
-    counts = dealt.groupBy("__part", group).agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(W.partitionBy(group).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.withColumn("__before", before).drop("__n")
-    own = F.row_number().over(W.partitionBy("__part", group).orderBy(*order))
-    df = dealt.withColumn("__own", own).join(counts, ["__part", group])
+    dealt = saved(dealt.withColumn("__own", F.row_number().over(W.partitionBy("__part", group).orderBy(*order))))
+    counts = dealt.groupBy(F.col("__part").alias("__p"), F.col(group).alias("__g")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(W.partitionBy("__g").orderBy("__p").rowsBetween(W.unboundedPreceding, -1))
+    counts = counts.withColumn("__before", F.coalesce(before, F.lit(0))).drop("__n")
+    df = dealt.join(counts, (F.col("__part") == F.col("__p")) & F.col(group).eqNullSafe(F.col("__g")), "left")
     if start is not None:
         df = df.join(start.select(group, F.col("start").alias("__start")), group, "left")
     else:
         df = df.withColumn("__start", F.lit(0))
-    total = (F.coalesce("__start", F.lit(0)) + F.col("__before") + F.col("__own")).cast("long")
-    return df.withColumn(out, total).drop("__part", "__own", "__before", "__start")
+    place = F.coalesce(F.col("__before"), F.raise_error(F.lit("a numbered row has no count")).cast("long")) + F.col("__own")
+    return df.withColumn(out, (F.coalesce("__start", F.lit(0)) + place).cast("long")).drop("__part", "__own", "__p", "__g", "__before", "__start")
 
 
 def appended(table: DataFrame, new: DataFrame) -> DataFrame:
