@@ -266,3 +266,50 @@ def test_short_texts_meet_exactly(spark):
     rows += [(1000, eight), (1001, eight + " nine"), (1002, "zero " + eight), (1003, eight + " nine ten")]
     got = {r.doc_id: r.class_id for r in ordermh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {k: root(k) for k in parent} | {k: 1000 for k in range(1000, 1004)}
+
+
+def test_lines_in_many_blocks(spark, monkeypatch):
+    """Groups dealt to several blocks count each link once, and a third of the rows may be variants of one line."""
+    from vertebra.llm import groups
+
+    for name, n in (("LEAST_ROWS", 4), ("MOST_ROWS", 6), ("WAYS", 3)):
+        monkeypatch.setattr(groups, name, n)
+    rng = np.random.default_rng(12)
+    base = [f"v{j}" for j in range(30)]
+    rows = []
+    for k in range(120):
+        lines = []
+        for _ in range(3):
+            w = list(base)
+            for _ in range(int(rng.integers(0, 5))):
+                w[int(rng.integers(0, 30))] = f"e{rng.integers(0, 400)}"
+            lines.append(" ".join(w))
+        lines.append(" ".join(f"u{k}x{j}" for j in range(int(rng.integers(1, 9)))))
+        rows.append((k, "\n".join(lines)))
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.n_links, r.kept_sha256) for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == lines_wanted(rows)
+
+
+def test_line_order_is_exact():
+    """Hashes that agree in their upper bits stay in order behind many lines."""
+    rng = np.random.default_rng(3)
+    line = rng.integers(0, 1 << 20, 5000)
+    value = rng.integers(0, 4, 5000).astype(np.uint64) << np.uint64(62) | rng.integers(0, 50, 5000).astype(np.uint64)
+    rare = rng.integers(0, 3, 5000)
+    o = linededup.by_line(line, (rare, 14), (value, 64))
+    assert list(zip(line[o], rare[o], value[o], strict=True)) == sorted(zip(line, rare, value, strict=True))
+
+
+def test_clashing_names(spark):
+    """Whatever the caller's columns are called, they come back, and the operator's own replace those of its names."""
+    rows = [(k, f"line {k} of many words here\nshared line with several words in it", k * 10, "kept", 1.5) for k in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __row long, N_Links string, `a.b` double")
+    out = linededup.dedup(df)
+    assert out.columns == ["doc_id", "text", "__row", "a.b", "n_lines", "n_removed", "kept_sha256", "n_links", "class_id"]
+    assert sorted((r["doc_id"], r["__row"], r["a.b"]) for r in out.collect()) == [(k, k * 10, 1.5) for k in range(8)]
+
+
+def test_one_long_text_of_lines(spark):
+    """Linear in removed lines: a text of 200,000 equal lines."""
+    out = linededup.dedup(spark.createDataFrame([(1, "the same words again\n" * 200_000 + "and another ending")], "doc_id long, text string")).first()
+    assert (out.n_lines, out.n_removed) == (200_001, 199_999)

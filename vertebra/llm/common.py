@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import functools
 
 import numpy as np
 import pandas as pd
@@ -13,6 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from vertebra.tables import saved, shared_dir
+
+__all__ = ["saved", "shared_dir"]
+
 #: A word is a longest run of bytes outside this set (space, tab, LF, VT, FF, CR). All are ASCII, so UTF-8 bytes can be split directly.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_GAPS = " \t\n\x0b\x0c\r"
@@ -39,25 +42,35 @@ def learnable(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % 5 != 0, F.lit(False))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir. Where that is unset (tests, local runs), one is set first."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def with_fields(df: DataFrame, ddl: str) -> StructType:
     """The table's schema and more columns."""
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """The same rows from a Parquet table in the shared folder: cuts lineage and survives lost executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def beside(uses: tuple[str, ...], ours: tuple[str, ...]):
+    """A decorator for operators on a table: it sees only the columns that it uses, and one struct with all others.
+
+    So no column of the caller's can clash with an operator's own, of whatever name. Names are compared as Spark does,
+    without case; columns that the operator adds (ours) replace the caller's of those names, the others come back as
+    they were, in their order, before those added.
+    """
+
+    def wrap(operator):
+        @functools.wraps(operator)
+        def run(docs: DataFrame, *args, **options) -> DataFrame:
+            known = {c.lower() for c in (*uses, *ours)}
+            spelled = {c.lower(): c for c in docs.columns}
+            rest = [c for c in docs.columns if c.lower() not in known]
+            column = lambda c: F.col("`" + c.replace("`", "``") + "`")
+            packed = [F.struct(*[column(c) for c in rest]).alias("__rest")] if rest else []
+            out = operator(docs.select(*[column(spelled[u]).alias(u) for u in uses if u in spelled], *packed), *args, **options)
+            given = [c for c in docs.columns if c in rest or c.lower() in uses and c.lower() not in ours]
+            back = [F.col("__rest").getField(c).alias(c) if c in rest else F.col(c.lower()).alias(c) for c in given]
+            return out.select(*back, *[c for c in out.columns if c not in ("__rest", *[g.lower() for g in given if g not in rest])])
+
+        return run
+
+    return wrap
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

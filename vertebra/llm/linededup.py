@@ -5,12 +5,13 @@ from __future__ import annotations
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertebra.llm.common import WORD, Bloom, Words, buffers, mixed, saved, slices
-from vertebra.llm.ordermh import components
+from vertebra.llm.common import WORD, Bloom, Words, beside, buffers, mixed, saved, slices
+from vertebra.llm.groups import components, handled, merged
 
 #: Words are counted in 2**21 hash buckets, in chunks of 2**16: the table of counts is 8 MB for any corpus.
 BUCKET_BITS, CHUNK_BITS = 21, 16
@@ -21,16 +22,23 @@ ROW = {"token": "<u8", "sig": "<u8", "bits": "<u8", "n": "<i4", "at": "<i4"}
 
 
 def by_line(line: np.ndarray, *keys: tuple[np.ndarray, int]) -> np.ndarray:
-    """An order by line, then by keys, the last one cut to the bits that are left of 64: one sort of integers.
+    """An order by line, then by keys: one sort of integers, and a second one of the few places that tie there.
 
-    keys: values and their bits, the last one's values with all 64. Values that the cut makes equal stand in either order.
+    keys: values and their bits, the last one's values with all 64, of which the first sort takes what is left of 64.
     """
     left = 64 - int(line.max(initial=0)).bit_length()
     code = np.zeros(len(line), dtype=np.uint64) if left == 64 else line.astype(np.uint64) << np.uint64(left)
     for values, bits in keys[:-1]:
         left -= bits
         code |= values.astype(np.uint64) << np.uint64(left)
-    return np.argsort(code | keys[-1][0] >> np.uint64(64 - left))
+    code |= keys[-1][0] >> np.uint64(64 - left)
+    order = np.argsort(code)
+    sorted_, last = code[order], keys[-1][0][order]
+    tied = np.unique(sorted_[1:][(sorted_[1:] == sorted_[:-1]) & (last[1:] != last[:-1])])
+    if len(tied):
+        at = np.flatnonzero(np.isin(sorted_, tied))
+        order[at] = order[at][np.lexsort((last[at], sorted_[at]))]
+    return order
 
 
 class Lines:
@@ -158,12 +166,13 @@ def prefixes(lines: Lines, which: np.ndarray, counts: np.ndarray, p: int, q: int
     return {"token": token >> np.uint64(24), "sig": sig[row], "bits": bits[row], "n": n[use][row].astype("<i4"), "at": at[use][row].astype("<i4")}
 
 
-def joined(rows: dict[str, np.ndarray], p: int, q: int, most: int = 1 << 21):
-    """Candidate pairs of set hashes among prefix rows, a few million tried pairs at a time.
+def grouped(rows: dict[str, np.ndarray], p: int, q: int, most: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+    """(sig, root): the sets among prefix rows that have a candidate there, with the smallest set hash they lead to.
 
     Rows are sorted by word and size. A row within its index prefix meets the larger rows of its word up to q / p times
     its size (length filter); what may still match after both positions must suffice (positional filter), and the bits
-    may not differ more than the sets could.
+    may not differ more than the sets could. Candidates are joined at once and never listed: near neighbours in the order
+    are tried first, and of a word's rows only those outside its commonest group then meet the others.
     """
     order = np.lexsort((rows["sig"], rows["n"], rows["token"]))
     token, sig = rows["token"][order], rows["sig"][order]
@@ -171,28 +180,63 @@ def joined(rows: dict[str, np.ndarray], p: int, q: int, most: int = 1 << 21):
     new[1:] = (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])
     order, token, sig = order[new], token[new], sig[new]
     n, place, bits = rows["n"][order].astype(np.int64), rows["at"][order].astype(np.int64), rows["bits"][order]
-    group = np.cumsum(np.concatenate([[0], token[1:] != token[:-1]])) if len(token) else np.zeros(0, dtype=np.int64)
-    index = np.flatnonzero(place < n - -(-2 * n * p // (p + q)) + 1)
-    wide = int(n.max(initial=1)) * q // p + 2
-    end = np.searchsorted(group * wide + n, group[index] * wide + n[index] * q // p, side="right")
-    many = end - index - 1
-    index, many = index[many > 0], many[many > 0]
-    cuts = np.cumsum(many)
-    at = 0
-    while at < len(index):
-        to = max(at + 1, int(np.searchsorted(cuts, (cuts[at - 1] if at else 0) + most, side="right")))
-        m = many[at:to]
-        i = np.repeat(index[at:to], m)
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)
+    sets, own = np.unique(sig, return_inverse=True)
+    label = np.arange(len(sets))
+    if not len(sets):
+        return sets, sets
+
+    def meet(i: np.ndarray, j: np.ndarray) -> None:
+        apart = label[own[i]] != label[own[j]]
+        i, j = i[apart], j[apart]
         need = -(-(n[i] + n[j]) * p // (p + q))
         ok = (np.minimum(n[i] - place[i], n[j] - place[j]) >= need) & (np.bitwise_count(bits[i] ^ bits[j]) <= n[i] + n[j] - 2 * need)
-        a, b = np.minimum(sig[i[ok]], sig[j[ok]]), np.maximum(sig[i[ok]], sig[j[ok]])
-        yield a.view(np.int64), b.view(np.int64)
-        at = to
+        merged(label, own[i[ok]], own[j[ok]])
+
+    for d in (1, 2, 3, 5, 8, 13):
+        k = np.arange(d, len(token))
+        k = k[token[k] == token[k - d]]
+        meet(k - d, k)
+    group = np.cumsum(np.concatenate([[0], token[1:] != token[:-1]]))
+    now = label[own]
+    by = np.lexsort((now, group))
+    cut = np.concatenate([[0], np.flatnonzero((np.diff(group[by]) != 0) | (np.diff(now[by]) != 0)) + 1])
+    sizes = np.diff(np.append(cut, len(by)))
+    largest = cut[np.lexsort((-sizes, group[by[cut]]))]
+    commonest = np.empty(group[-1] + 1, dtype=np.int64)
+    heads = np.unique(group[by[largest]], return_index=True)[1]
+    commonest[group[by[largest[heads]]]] = now[by[largest[heads]]]
+    outside = now != commonest[group]
+    index = place < n - -(-2 * n * p // (p + q)) + 1
+    wide = int(n.max(initial=1)) * q // p + 2
+    code = group * wide + n
+
+    def sweep(left: np.ndarray, right: np.ndarray) -> None:
+        """Rows left meet those of right that stand after them, a bounded number of tries at a time."""
+        begin = np.searchsorted(right, left, side="right")
+        many = np.searchsorted(code[right], group[left] * wide + n[left] * q // p, side="right") - begin
+        left, begin, many = left[many > 0], begin[many > 0], many[many > 0]
+        for at in range(0, int(many.max(initial=0)), most):  # a row with more partners than `most` takes several turns
+            few = np.minimum(many - at, most)
+            some = np.flatnonzero(few > 0)
+            cuts = np.cumsum(few[some])
+            k = 0
+            while k < len(some):
+                to = max(k + 1, int(np.searchsorted(cuts, (cuts[k - 1] if k else 0) + most, side="right")))
+                m = few[some[k:to]]
+                i = np.repeat(left[some[k:to]], m)
+                j = np.repeat(begin[some[k:to]] + at, m) + np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)
+                meet(i, right[j])
+                k = to
+
+    every, out = np.arange(len(token)), np.flatnonzero(outside)
+    sweep(np.flatnonzero(index & outside), every)
+    sweep(np.flatnonzero(index & ~outside), out)
+    some = np.bincount(label, minlength=len(label))[label] > 1
+    return sets[some], sets[label[some]]
 
 
 def candidates(rows: DataFrame, counts: np.ndarray, p: int, q: int, parts: int) -> DataFrame:
-    """(a, b): pairs of set hashes that pass the filters, each once.
+    """(a, b): sets that have a candidate (a) and a set that it leads to by candidates of one task (b).
 
     A task keeps one line of each set and sends its prefix rows in one block per part of the word hashes. Lines of fewer
     than q / (q - p) words can only match their equals and have no rows.
@@ -200,7 +244,7 @@ def candidates(rows: DataFrame, counts: np.ndarray, p: int, q: int, parts: int)
     shared = rows.sparkSession.sparkContext.broadcast(counts)
 
     def emit(batches):
-        seen: set[int] = set()
+        seen = np.zeros(0, dtype=np.uint64)
         held: list[dict[str, np.ndarray]] = []
 
         def blocks():
@@ -216,18 +260,16 @@ def candidates(rows: DataFrame, counts: np.ndarray, p: int, q: int, parts: int)
 
         for piece in slices(batches, 0):
             lines = Lines(*buffers(piece.column(0)))
-            new = []
-            for i, s in enumerate(lines.sig.tolist()):
-                if s not in seen:
-                    seen.add(s)
-                    new.append(i)
-            new = np.array(new, dtype=np.int64)
+            sets, at = np.unique(lines.sig, return_index=True)
+            known = seen[np.minimum(np.searchsorted(seen, sets), len(seen) - 1)] == sets if len(seen) else np.zeros(len(sets), dtype=bool)
+            new = at[~known]
             if len(seen) > 1_000_000:
-                seen.clear()
-            new = new[lines.n[new] * (q - p) >= p]
+                seen = seen[:0]
+            seen = np.union1d(seen, sets[~known])
+            new = np.sort(new[lines.n[new] * (q - p) >= p])
             if len(new):
                 held.append(prefixes(lines, new, shared.value, p, q))
-            if sum(len(h["n"]) for h in held) > 1_000_000:
+            if sum(len(h["n"]) for h in held) > 500_000:
                 yield blocks()
                 held.clear()
         if held:
@@ -245,11 +287,11 @@ def candidates(rows: DataFrame, counts: np.ndarray, p: int, q: int, parts: int)
                     else:
                         held[c].append(np.frombuffer(raw, ROW[c]))
         if held["n"]:
-            for a, b in joined({c: np.concatenate(x) for c, x in held.items()}, p, q):
-                yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+            a, b = grouped({c: np.concatenate(x) for c, x in held.items()}, p, q)
+            yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     blocks = rows.select("text").mapInArrow(emit, "part int, " + ", ".join(f"{c} binary" for c in ROW)).repartition(parts, "part")
-    return blocks.mapInArrow(meet, "a long, b long").distinct()
+    return blocks.mapInArrow(meet, "a long, b long")
 
 
 def tokens_of(rows: DataFrame, wanted: Bloom, held: Bloom) -> DataFrame:
@@ -270,25 +312,64 @@ def tokens_of(rows: DataFrame, wanted: Bloom, held: Bloom) -> DataFrame:
     return rows.select("text", "row").mapInArrow(run, "sig long, tokens binary").dropDuplicates(["sig"])
 
 
-def linked(pairs: DataFrame, tokens: DataFrame, p: int, q: int) -> DataFrame:
-    """The pairs whose sets have a Jaccard similarity of at least p / q."""
-    left, right = tokens.select(F.col("sig").alias("a"), F.col("tokens").alias("x")), tokens.select(F.col("sig").alias("b"), F.col("tokens").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-
-    def run(batches):
-        for b in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                s, t = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                c = np.sort(np.concatenate([s, t]))
-                if int((c[1:] == c[:-1]).sum()) * (p + q) >= p * (len(s) + len(t)):
-                    keep.append(i)
-            at = pa.array(keep, pa.int64())
-            yield pa.record_batch([b.column(0).take(at), b.column(1).take(at)], names=["a", "b"])
-
-    return both.mapInArrow(run, "a long, b long")
-
+def overlaps(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of sets of word hashes, and how many words any two have in common: products of 0/1 matrices."""
+    sets = [np.frombuffer(x, "<u8") for x in raw]
+    n = np.array([len(x) for x in sets])
+    words, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.cumsum(often > 1) - 1
+    row = np.repeat(np.arange(len(sets)), n)
+    use = often[column] > 1
+    row, column = row[use], place[column[use]]
+    common = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    step = 4096
+    for at in range(0, int(place[-1]) + 1 if len(place) else 0, step):
+        own = (column >= at) & (column < at + step) if place[-1] >= step else slice(None)
+        m = np.zeros((len(sets), min(step, int(place[-1]) + 1 - at)), dtype=np.float32)
+        m[row[own], column[own] - at] = 1
+        common += m @ m.T
+    return n, common
+
+
+def linked(members: DataFrame, p: int, q: int, parts: int) -> DataFrame:
+    """(sig, n, near, root): for sets (group, key, tokens, first, size) how many of their group they are similar to, the
+    earliest place of those, and one of them. A set is returned once per place where it has links; each link counts in one.
+    """
 
+    def work(t: pa.Table, alone: bool) -> pa.RecordBatch | None:
+        n, common = overlaps(t.column("tokens").to_pylist())
+        near = common * (p + q) >= p * (n[:, None] + n[None, :])
+        np.fill_diagonal(near, False)
+        if not alone:
+            own = t.column("own").to_numpy()
+            near &= own[:, None] != own[None, :]
+        degree = near.sum(axis=1)
+        some = np.flatnonzero(degree)
+        if not len(some):
+            return None
+        label = merged(np.arange(len(n)), *np.nonzero(np.triu(near)))
+        firsts = t.column("first").combine_chunks()
+        order = np.lexsort([firsts.field(c).to_numpy() for c in ("number", "row", "id")])
+        rank = np.empty(len(n), dtype=np.int64)
+        rank[order] = np.arange(len(n))
+        best = np.where(near[some], rank[None, :], len(n)).min(axis=1)
+        keys = t.column("key").combine_chunks()
+        return pa.record_batch([keys.take(pa.array(some)), pa.array(degree[some].astype(np.int64)), firsts.take(pa.array(order[best])), keys.take(pa.array(label[some]))], names=["sig", "n", "near", "root"])
+
+    return handled(members, work, "sig long, n long, near struct<id: long, row: long, number: int>, root long", parts)
+
+
+
+def remaining(text: pd.Series, removed: pd.Series) -> pd.Series:
+    """The text without the lines of these numbers."""
+    out = []
+    for t, r in zip(text, removed, strict=True):
+        gone = set() if r is None else set(r.tolist())
+        out.append("\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone) if gone else t)
+    return pd.Series(out, dtype=object)
+
+
+@beside(("doc_id", "text"), ("n_lines", "n_removed", "n_links", "class_id", "kept_sha256", "kept_text"))
 def dedup(docs: DataFrame, least: float = 0.8, with_text: bool = False, with_links: bool = True) -> DataFrame:
     """Adds n_lines, n_removed, kept_sha256 and, if asked, kept_text, n_links and class_id to every row.
 
@@ -298,11 +379,13 @@ def dedup(docs: DataFrame, least: float = 0.8, with_text: bool = False, with_lin
     all the document's lines; class_id is the smallest doc_id of the documents that equal or linked lines connect with it, by
     any number of steps. Equal rows fare alike.
 
-    Only texts that lose lines are shuffled. They, and those whose words verification needs, are picked by bitmaps of
+    Candidates of the prefix join are joined to groups where they are found, without being listed; then each group's sets
+    meet, once, in blocks of bounded size that count links and pass on one row per set. So what is sent grows with the
+    lines; what is compared grows with the square of a group's different lines, as exact counts of links need.
+
+    Empty tables give no rows, null texts have no lines and keep "". Only texts that lose lines are shuffled. They, and those whose words verification needs, are picked by bitmaps of
     fixed size, which let a few others through and hold none back.
     """
-    ours = ["n_lines", "n_removed", "n_links", "class_id", "kept_sha256", "kept_text"]
-    docs = docs.select(*[c for c in docs.columns if c not in ours])
     spark = docs.sparkSession
     ratio = Fraction(least).limit_denominator(1000)
     p, q = ratio.numerator, ratio.denominator
@@ -312,16 +395,16 @@ def dedup(docs: DataFrame, least: float = 0.8, with_text: bool = False, with_lin
 
     survey = surveyed(rows)
     each = survey.where("chunk is null").select("id", "row", F.explode(F.arrays_zip("numbers", "sigs")).alias("l")).select("id", "row", F.col("l.numbers").alias("number"), F.col("l.sigs").alias("sig"))
-    pairs = saved(candidates(rows, word_counts(survey), p, q, parts))
-    met = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    firsts = saved(each.groupBy("sig").agg(F.min(F.struct("id", "row", "number")).alias("first"), F.count(F.lit(1)).alias("times")).join(met.withColumn("met", F.lit(True)), "sig", "left").where("times > 1 or met"))
-    wanted = firsts.where("met")
+    met = components(candidates(rows, word_counts(survey), p, q, parts)).select(F.col("key").alias("sig"), F.col("root").alias("group"))
+    firsts = each.groupBy("sig").agg(F.min(F.struct("id", "row", "number")).alias("first"), F.count(F.lit(1)).alias("times"))
+    firsts = saved(firsts.join(met, "sig", "left").where("times > 1 or group is not null"))
+    wanted = firsts.where("group is not null")
     tokens = tokens_of(rows, Bloom(wanted.select("sig")), Bloom(wanted.select("first.row")))
-    links = saved(linked(pairs, tokens, p, q))
+    members = tokens.join(wanted, "sig").select("group", F.col("sig").alias("key"), "first", "tokens", F.octet_length("tokens").cast("long").alias("size"))
+    links = saved(linked(members, p, q, parts))
 
-    both = links.select(F.col("a").alias("sig"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("sig"), F.col("a").alias("other")))
-    near = both.join(firsts.select(F.col("sig").alias("other"), "first"), "other").groupBy("sig").agg(F.min("first").alias("near"), F.count(F.lit(1)).alias("n"))
-    known = firsts.join(near, "sig", "left").where("times > 1 or n is not null").select("sig", F.least("first", "near").alias("first"), F.coalesce("n", F.lit(0)).alias("n"))
+    near = links.groupBy("sig").agg(F.min("near").alias("near"), F.sum("n").alias("n"))
+    known = saved(firsts.join(near, "sig", "left").where("times > 1 or n is not null").select("sig", F.least("first", "near").alias("first"), F.coalesce("n", F.lit(0)).alias("n")))
     hits = each.join(known, "sig").select("id", "row", "sig", "number", "n", (F.col("first") < F.struct("id", "row", "number")).alias("later"))
     hits = saved(hits.groupBy("id", "row").agg(F.collect_set(F.when(F.col("later"), F.col("number"))).alias("removed"), F.collect_set(F.struct("number", "n")).alias("lines"), F.collect_set("sig").alias("sigs")))
     hits = hits.select(F.col("id").alias("__id"), F.col("row").alias("__row"), F.col("removed").alias("__removed"), F.aggregate("lines", F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("__links"), F.col("sigs").alias("__sigs"))
@@ -333,16 +416,16 @@ def dedup(docs: DataFrame, least: float = 0.8, with_text: bool = False, with_lin
     same = docs.where("not __open").withColumn("n_removed", F.lit(0).cast("long")).withColumn("kept_text", text)
     cut = docs.where("__open").join(losing.select("__id", "__row", "__removed"), ["__id", "__row"], "left")
     gone = F.size("__removed")
-    rest = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("__removed", i)), "\n")
+    rest = F.pandas_udf(remaining, "string")(text, F.col("__removed"))
     cut = cut.withColumn("n_removed", F.coalesce(F.when(gone > 0, gone), F.lit(0)).cast("long")).withColumn("kept_text", F.when(gone > 0, rest).otherwise(text))
     out = same.unionByName(cut.select(*same.columns)).drop("__open").withColumn("kept_sha256", F.sha2("kept_text", 256))
     if not with_text:
         out = out.drop("kept_text")
     if with_links:
         held = hits.select("__id", "__row", F.explode("__sigs").alias("sig"))
-        roots = components(links.unionByName(held.select(F.col("__row").alias("a"), F.col("sig").alias("b"))))
-        member = hits.select("__id", "__row", "__links").join(roots, F.col("__row") == F.col("key")).drop("key")
-        heads = member.groupBy("root").agg(F.min("__id").alias("__head"))
+        roots = components(links.where("sig <> root").select(F.col("sig").alias("a"), F.col("root").alias("b")).unionByName(held.select(F.col("__row").alias("a"), F.col("sig").alias("b"))))
+        member = saved(hits.select("__id", "__row", "__links").join(roots, F.col("__row") == F.col("key")).drop("key"))
+        heads = saved(member.groupBy("root").agg(F.min("__id").alias("__head")))
         out = out.join(member.join(heads, "root").select("__id", "__row", "__links", "__head"), ["__id", "__row"], "left")
         head = F.when(F.col("__head") < 2**63 - 1, F.least(F.col("doc_id").cast("long"), F.col("__head")))
         out = out.withColumn("n_links", F.coalesce("__links", F.lit(0)).cast("long")).withColumn("class_id", F.coalesce(head, F.col("doc_id").cast("long")))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vertebra.llm.common import WORD, Bloom, Words, buffers, grams, mixed, saved, slices
+from vertebra.llm.groups import components
 
 #: Longs of a text's parity bits.
 PARITY_WORDS = 8
