@@ -142,7 +142,7 @@ def grams(hashes: np.ndarray, first: np.ndarray, k: int, base: int = 1) -> tuple
     return span_hashes(hashes, at, at + k, base), at
 
 
-def slices(batches, column: int = 0, most_bytes: int = 2 << 20):
+def slices(batches, column: int = 0, most_bytes: int = 1 << 20):
     """Arrow batches cut so that each holds about most_bytes of the text column, or one longer text."""
     for batch in batches:
         text = batch.column(column)

@@ -19,11 +19,9 @@ def components(links: DataFrame) -> DataFrame:
     """(key, root): each linked key and the smallest key that it is connected with.
 
     Every round, each key takes the smallest root among its own and its neighbours', then its root's root; the tables of
-    links and roots stay distributed, and each round's is written, so that no lineage grows. Between rounds, links inside
-    what is already one component go.
+    links and roots stay distributed, and each round's is written, so that no lineage grows.
     """
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = saved(both)
+    both = saved(links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("l")).select("l.a", "l.b").distinct())
     roots = saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "key"))
     while True:
         near = both.join(roots, both["b"] == roots["key"]).groupBy("a").agg(F.min("root").alias("near"))

@@ -236,7 +236,7 @@ def grouped(rows: dict[str, np.ndarray], p: int, q: int, most: int = 1 << 19) ->
 
 
 def candidates(rows: DataFrame, counts: np.ndarray, p: int, q: int, parts: int) -> DataFrame:
-    """(a, b): sets that have a candidate (a) and a set that it leads to by candidates of one task (b).
+    """(a, b), written: sets (a) and the smallest set hash (b, another) that they lead to by candidates of one task.
 
     A task keeps one line of each set and sends its prefix rows in one block per part of the word hashes. Lines of fewer
     than q / (q - p) words can only match their equals and have no rows.
@@ -291,7 +291,7 @@ def candidates(rows: DataFrame, counts: np.ndarray, p: int, q: int, parts: int)
             yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     blocks = rows.select("text").mapInArrow(emit, "part int, " + ", ".join(f"{c} binary" for c in ROW)).repartition(parts, "part")
-    return blocks.mapInArrow(meet, "a long, b long")
+    return saved(blocks.mapInArrow(meet, "a long, b long").where("a <> b").distinct())
 
 
 def tokens_of(rows: DataFrame, wanted: Bloom, held: Bloom) -> DataFrame:
@@ -332,8 +332,9 @@ def overlaps(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def linked(members: DataFrame, p: int, q: int, parts: int) -> DataFrame:
-    """(sig, n, near, root): for sets (group, key, tokens, first, size) how many of their group they are similar to, the
-    earliest place of those, and one of them. A set is returned once per place where it has links; each link counts in one.
+    """(sig, n, near, a, b): for sets (group, key, tokens, first, size) how many of their group they are similar to, the
+    earliest first place of those, and rows that this connects: the set's first one, and that of the set that its links
+    lead to. A set is returned once per place where it has links; each link counts in one.
     """
 
     def work(t: pa.Table, alone: bool) -> pa.RecordBatch | None:
@@ -353,10 +354,10 @@ def linked(members: DataFrame, p: int, q: int, parts: int) -> DataFrame:
         rank = np.empty(len(n), dtype=np.int64)
         rank[order] = np.arange(len(n))
         best = np.where(near[some], rank[None, :], len(n)).min(axis=1)
-        keys = t.column("key").combine_chunks()
-        return pa.record_batch([keys.take(pa.array(some)), pa.array(degree[some].astype(np.int64)), firsts.take(pa.array(order[best])), keys.take(pa.array(label[some]))], names=["sig", "n", "near", "root"])
+        keys, rows = t.column("key").combine_chunks(), firsts.field("row")
+        return pa.record_batch([keys.take(pa.array(some)), pa.array(degree[some].astype(np.int64)), firsts.take(pa.array(order[best])), rows.take(pa.array(some)), rows.take(pa.array(label[some]))], names=["sig", "n", "near", "a", "b"])
 
-    return handled(members, work, "sig long, n long, near struct<id: long, row: long, number: int>, root long", parts)
+    return handled(members, work, "sig long, n long, near struct<id: long, row: long, number: int>, a long, b long", parts)
 
 
 
@@ -405,9 +406,9 @@ def dedup(docs: DataFrame, least: float = 0.8, with_text: bool = False, with_lin
 
     near = links.groupBy("sig").agg(F.min("near").alias("near"), F.sum("n").alias("n"))
     known = saved(firsts.join(near, "sig", "left").where("times > 1 or n is not null").select("sig", F.least("first", "near").alias("first"), F.coalesce("n", F.lit(0)).alias("n")))
-    hits = each.join(known, "sig").select("id", "row", "sig", "number", "n", (F.col("first") < F.struct("id", "row", "number")).alias("later"))
-    hits = saved(hits.groupBy("id", "row").agg(F.collect_set(F.when(F.col("later"), F.col("number"))).alias("removed"), F.collect_set(F.struct("number", "n")).alias("lines"), F.collect_set("sig").alias("sigs")))
-    hits = hits.select(F.col("id").alias("__id"), F.col("row").alias("__row"), F.col("removed").alias("__removed"), F.aggregate("lines", F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("__links"), F.col("sigs").alias("__sigs"))
+    hits = each.join(known, "sig").select("id", "row", "number", "n", F.col("first.row").alias("head"), (F.col("first") < F.struct("id", "row", "number")).alias("later"))
+    hits = saved(hits.groupBy("id", "row").agg(F.collect_set(F.when(F.col("later"), F.col("number"))).alias("removed"), F.collect_set(F.struct("number", "n")).alias("lines"), F.collect_set("head").alias("heads")))
+    hits = hits.select(F.col("id").alias("__id"), F.col("row").alias("__row"), F.col("removed").alias("__removed"), F.aggregate("lines", F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("__links"), F.col("heads").alias("__heads"))
 
     text = F.coalesce("text", F.lit(""))
     inked = F.size(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))).cast("long")
@@ -422,9 +423,9 @@ def dedup(docs: DataFrame, least: float = 0.8, with_text: bool = False, with_lin
     if not with_text:
         out = out.drop("kept_text")
     if with_links:
-        held = hits.select("__id", "__row", F.explode("__sigs").alias("sig"))
-        roots = components(links.where("sig <> root").select(F.col("sig").alias("a"), F.col("root").alias("b")).unionByName(held.select(F.col("__row").alias("a"), F.col("sig").alias("b"))))
-        member = saved(hits.select("__id", "__row", "__links").join(roots, F.col("__row") == F.col("key")).drop("key"))
+        held = hits.select(F.col("__row").alias("a"), F.explode("__heads").alias("b")).where("a <> b")
+        roots = components(links.select("a", "b").where("a <> b").unionByName(held))
+        member = saved(hits.select("__id", "__row", "__links").join(roots, F.col("__row") == F.col("key"), "left").select("__id", "__row", "__links", F.coalesce("root", "__row").alias("root")))
         heads = saved(member.groupBy("root").agg(F.min("__id").alias("__head")))
         out = out.join(member.join(heads, "root").select("__id", "__row", "__links", "__head"), ["__id", "__row"], "left")
         head = F.when(F.col("__head") < 2**63 - 1, F.least(F.col("doc_id").cast("long"), F.col("__head")))
