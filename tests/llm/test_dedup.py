@@ -272,7 +272,7 @@ def test_lines_in_many_blocks(spark, monkeypatch):
     """Groups dealt to several blocks count each link once, and a third of the rows may be variants of one line."""
     from vertebra.llm import groups
 
-    for name, n in (("LEAST_ROWS", 4), ("MOST_ROWS", 6), ("WAYS", 3)):
+    for name, n in (("BLOCK_ROWS", 5), ("BATCH_ROWS", 30)):
         monkeypatch.setattr(groups, name, n)
     rng = np.random.default_rng(12)
     base = [f"v{j}" for j in range(30)]

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from vertebra.llm.common import saved
 
-#: Rows of a block: at least, at most, and how many blocks a group has before they grow; bytes of a block at most.
-LEAST_ROWS, MOST_ROWS, WAYS, MOST_BYTES = 128, 1024, 24, 8 << 20
+#: Rows and bytes of a block, about; and rows that tasks take together when places are small.
+BLOCK_ROWS, BLOCK_BYTES, BATCH_ROWS = 1024, 8 << 20, 2048
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -50,18 +50,17 @@ def merged(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             label[:] = up
 
 
-def together(items: DataFrame, parts: int, size: str = "size") -> DataFrame:
-    """Adds place (bytes), lo, hi and own to items, once per place; rows of a place are then sorted behind each other.
+def together(items: DataFrame, sizes: DataFrame, parts: int) -> DataFrame:
+    """Adds place, lo, hi and own to items, once per place; rows of a place are then sorted behind each other.
 
-    items has group and size (bytes of a row). A group's rows are dealt to blocks by `key`, and each pair of blocks (lo <= hi)
-    is a place that holds both blocks' rows; own is the row's block. Two rows of a group share the place (lo, hi) of their
-    blocks, and if both are in one block also the places of that block with others. Groups of up to LEAST_ROWS rows are one
-    block. No place holds more than about 2 MOST_ROWS rows or 2 MOST_BYTES bytes (or two rows, if they are longer).
+    items has key and group, sizes a row (group, size in bytes) for each row of items, without the rest. A group's rows are dealt to blocks by key, and each pair of blocks
+    (lo <= hi) is a place that holds both blocks' rows; own is the row's block. So any two rows of a group share the place
+    (lo, hi) of their blocks. No place holds more than about 2 BLOCK_ROWS rows or 2 BLOCK_BYTES bytes (or two rows, if they
+    are longer), and what is sent of a group of n rows is n times its blocks.
     """
-    sizes = items.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("total"))
-    rows = F.least(F.greatest(F.col("n") / WAYS, F.lit(LEAST_ROWS)), F.lit(MOST_ROWS))
-    blocks = F.greatest(F.ceil(F.col("n") / rows), F.ceil(F.col("total") / MOST_BYTES), F.lit(1)).cast("int")
-    large = sizes.select("group", blocks.alias("blocks")).where("blocks > 1")
+    sizes = sizes.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("total") / BLOCK_BYTES), F.lit(1)).cast("int")
+    large = saved(sizes.select("group", blocks.alias("blocks")).where("blocks > 1"))
     df = items.join(large, "group", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     df = df.withColumn("own", F.pmod(F.xxhash64(F.lit(5), "key"), F.col("blocks")).cast("int"))
     df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -69,48 +68,89 @@ def together(items: DataFrame, parts: int, size: str = "size") -> DataFrame:
     return df.repartition(parts, "place").sortWithinPartitions("place", "group", "lo", "hi")
 
 
-def places(batches, columns: tuple[str, ...] = ("group", "lo", "hi")) -> Iterator[pa.Table]:
-    """Tables with the rows of one place each, from sorted batches; only one place is held."""
+def starts(t: pa.Table) -> np.ndarray:
+    """Where the rows of each place begin in a sorted table or batch, and its length."""
+    new = np.zeros(len(t), dtype=bool)
+    for c in ("place", "group", "lo", "hi"):
+        v = t.column(c).to_numpy(zero_copy_only=False) if isinstance(t, pa.RecordBatch) else t.column(c).to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.concatenate([[0], np.flatnonzero(new), [len(t)]]).astype(np.int64)
+
+
+def places(batches) -> Iterator[pa.Table]:
+    """Tables of whole places from sorted batches: at least BATCH_ROWS rows each, but no more than one place beyond it."""
     held: list[pa.RecordBatch] = []
-    last = None
     for b in batches:
         if not len(b):
             continue
-        keys = [b.column(b.schema.names.index(c)) for c in columns]
-        new = np.zeros(len(b), dtype=bool)
-        for k in keys:
-            v = k.to_numpy(zero_copy_only=False)
-            new[1:] |= v[1:] != v[:-1]
-        starts = [0, *np.flatnonzero(new).tolist(), len(b)]
-        for s, e in zip(starts, starts[1:], strict=False):
-            if s == e:
-                continue
-            key = tuple(k[s].as_py() for k in keys)
-            if key != last and held:
-                yield pa.Table.from_batches(held)
-                held = []
-            last = key
-            held.append(b.slice(s, e - s))
+        held.append(b)
+        t = pa.Table.from_batches(held).combine_chunks()
+        cut = starts(t)
+        at = 0
+        for end in cut[1:-1].tolist():
+            if end - at >= BATCH_ROWS:
+                yield t.slice(at, end - at).combine_chunks()
+                at = end
+        held = t.slice(at).combine_chunks().to_batches()
     if held:
-        yield pa.Table.from_batches(held)
-
-
-def handled(items: DataFrame, work: Callable[[pa.Table, bool], pa.RecordBatch | None], schema: str, parts: int) -> DataFrame:
-    """work(rows of a place, whether it is one block) for every place of items' groups, in tasks; rows of what it returns.
-
-    Where the place is of two blocks, work has to leave alone pairs inside a block: those meet where the block is alone.
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def pairs_of(cut: np.ndarray, least: int = 2, most: int = 1 << 30) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs i < j of rows of one place, for places of least to most rows."""
+    sizes = np.diff(cut)
+    sizes = np.where((sizes >= least) & (sizes <= most), sizes, 0)
+    end = np.repeat(cut[:-1] + sizes, np.diff(cut))
+    many = np.maximum(end - np.arange(cut[-1]) - 1, 0)
+    i = np.repeat(np.arange(cut[-1]), many)
+    return i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
+
+
+def in_common(first: np.ndarray, values: np.ndarray, i: np.ndarray, j: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """How many values the rows i[k] and j[k] share. Row r holds values[first[r]:first[r + 1]], all different."""
+    _, ids = np.unique(values, return_inverse=True)
+    wide = int(ids.max(initial=0)) + 1
+    size = np.diff(first)
+    held = np.sort(np.repeat(np.arange(len(size)), size) * wide + ids)
+    out, cuts, at = np.zeros(len(i), dtype=np.int64), np.cumsum(size[i]), 0
+    while at < len(i):
+        to = max(at + 1, int(np.searchsorted(cuts, (cuts[at - 1] if at else 0) + most, side="right")))
+        m = size[i[at:to]]
+        pair = np.repeat(np.arange(to - at), m)
+        asked = j[at:to][pair] * wide + ids[np.repeat(first[i[at:to]], m) + np.arange(len(pair)) - np.repeat(np.cumsum(m) - m, m)]
+        found = held[np.minimum(np.searchsorted(held, asked), len(held) - 1)] == asked if len(held) else np.zeros(len(asked), dtype=bool)
+        out[at:to] = np.bincount(pair[found], minlength=to - at)
+        at = to
+    return out
+
+
+def here(t: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether this is the one place where the rows i and j of one place count as a pair.
+
+    Rows of one block count where the block is alone; rows that share several groups (column groups) count in the least.
     """
+    lo, hi, own = (t.column(c).to_numpy() for c in ("lo", "hi", "own"))
+    ok = (lo[i] == hi[i]) | (own[i] != own[j])
+    lists = t.column("groups").combine_chunks()
+    size = np.diff(lists.offsets.to_numpy())
+    if len(size) and size.max(initial=0) > 1:
+        group, flat = t.column("group").to_numpy(), lists.flatten().to_numpy()
+        row = np.repeat(np.arange(len(size)), size)
+        less = flat < group[row]
+        first = np.searchsorted(row[less], np.arange(len(size) + 1))
+        many = np.flatnonzero(ok & (np.diff(first)[i] > 0) & (np.diff(first)[j] > 0))
+        if len(many):
+            ok[many] = in_common(first, flat[less], i[many], j[many]) == 0
+    return ok
+
+
+def handled(items: DataFrame, sizes: DataFrame, work: Callable[[pa.Table, np.ndarray], pa.RecordBatch], schema: str, parts: int) -> DataFrame:
+    """work(rows of some whole places, where those begin) for all places of items' groups, in tasks; rows of what it returns."""
 
     def run(batches):
-        out: list[pa.RecordBatch] = []
         for t in places(batches):
-            alone = t.column("lo")[0].as_py() == t.column("hi")[0].as_py()
-            if len(t) > 1 and (r := work(t, alone)) is not None and len(r):
-                out.append(r)
-            if len(out) >= 500:
-                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
-                out = []
-        if out:
-            yield from pa.Table.from_batches(out).combine_chunks().to_batches()
-
-    return together(items, parts).mapInArrow(run, schema)
+            r = work(t, starts(t))
+            if len(r):
+                yield r
+
+    return together(items, sizes, parts).mapInArrow(run, schema)

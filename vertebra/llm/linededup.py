@@ -11,14 +11,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vertebra.llm.common import WORD, Bloom, Words, beside, buffers, mixed, saved, slices
-from vertebra.llm.groups import components, handled, merged
+from vertebra.llm.groups import components, handled, here, in_common, merged, pairs_of
 
 #: Words are counted in 2**21 hash buckets, in chunks of 2**16: the table of counts is 8 MB for any corpus.
 BUCKET_BITS, CHUNK_BITS = 21, 16
 #: A word in more lines than this is dealt to blocks of about so many.
 BLOCK_LINES = 1 << 17
-#: Columns of prefix rows as they are sent; of a word's hash, 5 bytes.
-ROW = {"token": "<u8", "sig": "<u8", "bits": "<u8", "n": "<i4", "at": "<i4"}
+#: Columns of prefix rows as they are sent. token is 32 bits of a word's hash, so that few words may meet as one; n and at
+#: stop at MANY, and sets of that size pass all filters that they could spoil.
+ROW = {"token": "<u4", "sig": "<u8", "bits": "<u8", "n": "<u2", "at": "<u2"}
+MANY = 2**16 - 1
+#: Bytes of a word's hash in sets that are verified.
+WORD_BYTES = 6
 
 
 def by_line(line: np.ndarray, *keys: tuple[np.ndarray, int]) -> np.ndarray:
@@ -163,11 +167,12 @@ def prefixes(lines: Lines, which: np.ndarray, counts: np.ndarray, p: int, q: int
     bits = np.repeat(bits, np.diff(np.append(heads, len(line))))[use]
     sig = lines.sig[line[use]]
     row, token = dealt(tokens[use], sig, often[use], block_lines)
-    return {"token": token >> np.uint64(24), "sig": sig[row], "bits": bits[row], "n": n[use][row].astype("<i4"), "at": at[use][row].astype("<i4")}
+    few = lambda x: np.minimum(x[use][row], MANY).astype("<u2")
+    return {"token": (token >> np.uint64(32)).astype("<u4"), "sig": sig[row], "bits": bits[row], "n": few(n), "at": few(at)}
 
 
-def grouped(rows: dict[str, np.ndarray], p: int, q: int, most: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
-    """(sig, root): the sets among prefix rows that have a candidate there, with the smallest set hash they lead to.
+def grouped(rows: dict[str, np.ndarray], p: int, q: int, most: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sig, root, n): the sets among prefix rows that have a candidate there, the smallest set hash they lead to, and sizes.
 
     Rows are sorted by word and size. A row within its index prefix meets the larger rows of its word up to q / p times
     its size (length filter); what may still match after both positions must suffice (positional filter), and the bits
@@ -183,13 +188,14 @@ def grouped(rows: dict[str, np.ndarray], p: int, q: int, most: int = 1 << 19) ->
     sets, own = np.unique(sig, return_inverse=True)
     label = np.arange(len(sets))
     if not len(sets):
-        return sets, sets
+        return sets, sets, n
 
     def meet(i: np.ndarray, j: np.ndarray) -> None:
         apart = label[own[i]] != label[own[j]]
         i, j = i[apart], j[apart]
         need = -(-(n[i] + n[j]) * p // (p + q))
         ok = (np.minimum(n[i] - place[i], n[j] - place[j]) >= need) & (np.bitwise_count(bits[i] ^ bits[j]) <= n[i] + n[j] - 2 * need)
+        ok |= (n[i] == MANY) | (n[j] == MANY)
         merged(label, own[i[ok]], own[j[ok]])
 
     for d in (1, 2, 3, 5, 8, 13):
@@ -206,7 +212,7 @@ def grouped(rows: dict[str, np.ndarray], p: int, q: int, most: int = 1 << 19) ->
     heads = np.unique(group[by[largest]], return_index=True)[1]
     commonest[group[by[largest[heads]]]] = now[by[largest[heads]]]
     outside = now != commonest[group]
-    index = place < n - -(-2 * n * p // (p + q)) + 1
+    index = (place < n - -(-2 * n * p // (p + q)) + 1) | (n == MANY)
     wide = int(n.max(initial=1)) * q // p + 2
     code = group * wide + n
 
@@ -232,11 +238,14 @@ def grouped(rows: dict[str, np.ndarray], p: int, q: int, most: int = 1 << 19) ->
     sweep(np.flatnonzero(index & outside), every)
     sweep(np.flatnonzero(index & ~outside), out)
     some = np.bincount(label, minlength=len(label))[label] > 1
-    return sets[some], sets[label[some]]
+    size = np.zeros(len(sets), dtype=np.int64)
+    size[own] = n
+    return sets[some], sets[label[some]], size[some]
 
 
 def candidates(rows: DataFrame, counts: np.ndarray, p: int, q: int, parts: int) -> DataFrame:
-    """(a, b), written: sets (a) and the smallest set hash (b, another) that they lead to by candidates of one task.
+    """(sig, group, n), written: sets (of n words) that have a candidate, and the smallest set hash that they lead to by candidates of one
+    task. Two sets that are candidates share a group, at least.
 
     A task keeps one line of each set and sends its prefix rows in one block per part of the word hashes. Lines of fewer
     than q / (q - p) words can only match their equals and have no rows.
@@ -249,12 +258,11 @@ def candidates(rows: DataFrame, counts: np.ndarray, p: int, q: int, parts: int)
 
         def blocks():
             every = {c: np.concatenate([h[c] for h in held]) for c in ROW}
-            part = (mixed(every["token"]) % np.uint64(parts)).astype(np.int64)
+            part = (mixed(every["token"].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             cut = np.searchsorted(part[order], np.arange(parts + 1))
             own = [i for i in range(parts) if cut[i + 1] > cut[i]]
             sent = {c: every[c][order] for c in ROW}
-            sent["token"] = sent["token"].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
             raw = [pa.array([sent[c][cut[i] : cut[i + 1]].tobytes() for i in own], pa.binary()) for c in ROW]
             return pa.record_batch([pa.array(own, pa.int32()), *raw], names=["part", *ROW])
 
@@ -279,23 +287,17 @@ def candidates(rows: DataFrame, counts: np.ndarray, p: int, q: int, parts: int)
         held: dict[str, list[np.ndarray]] = {c: [] for c in ROW}
         for b in batches:
             for c in ROW:
-                for raw in b.column(c).to_pylist():
-                    if c == "token":
-                        wide = np.zeros((len(raw) // 5, 8), dtype=np.uint8)
-                        wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-                        held[c].append(wide.view("<u8").ravel())
-                    else:
-                        held[c].append(np.frombuffer(raw, ROW[c]))
+                held[c] += [np.frombuffer(raw, ROW[c]) for raw in b.column(c).to_pylist()]
         if held["n"]:
-            a, b = grouped({c: np.concatenate(x) for c, x in held.items()}, p, q)
-            yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+            a, b, n = grouped({c: np.concatenate(x) for c, x in held.items()}, p, q)
+            yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(n)], names=["sig", "group", "n"])
 
     blocks = rows.select("text").mapInArrow(emit, "part int, " + ", ".join(f"{c} binary" for c in ROW)).repartition(parts, "part")
-    return saved(blocks.mapInArrow(meet, "a long, b long").where("a <> b").distinct())
+    return saved(blocks.mapInArrow(meet, "sig long, group long, n long").distinct())
 
 
 def tokens_of(rows: DataFrame, wanted: Bloom, held: Bloom) -> DataFrame:
-    """(sig, tokens): the word hashes of sets in wanted, and of few others, from rows in held (and few others)."""
+    """(sig, tokens): the word hashes of sets in wanted, and of few others, from rows in held (and few others); some twice."""
     shared = rows.sparkSession.sparkContext.broadcast((wanted, held))
 
     def run(batches):
@@ -306,59 +308,70 @@ def tokens_of(rows: DataFrame, wanted: Bloom, held: Bloom) -> DataFrame:
                 lines = Lines(*buffers(part.column(0)))
                 _, at = np.unique(lines.sig, return_index=True)
                 at = at[wanted.has(lines.sig[at])]
-                raw = [lines.tokens[lines.first[i] : lines.first[i + 1]].tobytes() for i in at.tolist()]
+                words = np.ascontiguousarray(lines.tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - WORD_BYTES :])
+                raw = [words[lines.first[i] : lines.first[i + 1]].tobytes() for i in at.tolist()]
                 yield pa.record_batch([pa.array(lines.sig[at].view(np.int64)), pa.array(raw, pa.binary())], names=["sig", "tokens"])
 
-    return rows.select("text", "row").mapInArrow(run, "sig long, tokens binary").dropDuplicates(["sig"])
+    return rows.select("text", "row").mapInArrow(run, "sig long, tokens binary")
 
 
-def overlaps(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Sizes of sets of word hashes, and how many words any two have in common: products of 0/1 matrices."""
-    sets = [np.frombuffer(x, "<u8") for x in raw]
-    n = np.array([len(x) for x in sets])
-    words, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+def overlaps(first: np.ndarray, words: np.ndarray, step: int = 4096) -> np.ndarray:
+    """How many words any two sets have in common: products of 0/1 matrices, some thousand words at a time."""
+    n = len(first) - 1
+    _, column, often = np.unique(words, return_inverse=True, return_counts=True)
     place = np.cumsum(often > 1) - 1
-    row = np.repeat(np.arange(len(sets)), n)
+    row = np.repeat(np.arange(n), np.diff(first))
     use = often[column] > 1
     row, column = row[use], place[column[use]]
-    common = np.zeros((len(sets), len(sets)), dtype=np.float32)
-    step = 4096
-    for at in range(0, int(place[-1]) + 1 if len(place) else 0, step):
-        own = (column >= at) & (column < at + step) if place[-1] >= step else slice(None)
-        m = np.zeros((len(sets), min(step, int(place[-1]) + 1 - at)), dtype=np.float32)
+    wide = int(place[-1]) + 1 if len(place) else 0
+    common = np.zeros((n, n), dtype=np.float32)
+    for at in range(0, wide, step):
+        own = (column >= at) & (column < at + step)
+        m = np.zeros((n, min(step, wide - at)), dtype=np.float32)
         m[row[own], column[own] - at] = 1
         common += m @ m.T
-    return n, common
+    return common
 
 
-def linked(members: DataFrame, p: int, q: int, parts: int) -> DataFrame:
-    """(sig, n, near, a, b): for sets (group, key, tokens, first, size) how many of their group they are similar to, the
-    earliest first place of those, and rows that this connects: the set's first one, and that of the set that its links
+def linked(members: DataFrame, sizes: DataFrame, p: int, q: int, parts: int, few: int = 48) -> DataFrame:
+    """(sig, n, near, a, b): for sets (group, groups, key, tokens, first) how many of their group they are similar to,
+    the earliest first place of those, and rows that this connects: the set's first one, and that of the set that its links
     lead to. A set is returned once per place where it has links; each link counts in one.
     """
 
-    def work(t: pa.Table, alone: bool) -> pa.RecordBatch | None:
-        n, common = overlaps(t.column("tokens").to_pylist())
-        near = common * (p + q) >= p * (n[:, None] + n[None, :])
-        np.fill_diagonal(near, False)
-        if not alone:
-            own = t.column("own").to_numpy()
-            near &= own[:, None] != own[None, :]
-        degree = near.sum(axis=1)
-        some = np.flatnonzero(degree)
-        if not len(some):
-            return None
-        label = merged(np.arange(len(n)), *np.nonzero(np.triu(near)))
+    def work(t: pa.Table, cut: np.ndarray) -> pa.RecordBatch:
+        raw = t.column("tokens").combine_chunks()
+        ends = np.frombuffer(raw.buffers()[1], dtype=np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
+        words = np.zeros(((ends[-1] - ends[0]) // WORD_BYTES, 8), dtype=np.uint8)
+        words[:, :WORD_BYTES] = np.frombuffer(raw.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].reshape(-1, WORD_BYTES)
+        words, first = words.view("<u8").ravel(), (ends - ends[0]) // WORD_BYTES
+        n = np.diff(first)
+        i, j = pairs_of(cut, most=few)
+        small = in_common(first, words, i, j) * (p + q) >= p * (n[i] + n[j])
+        found = [(i[small], j[small])]
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            if b - a > few:
+                common = overlaps(first[a : b + 1] - first[a], words[first[a] : first[b]])
+                near = np.triu(common * (p + q) >= p * (n[a:b, None] + n[None, a:b]), 1)
+                x, y = np.nonzero(near)
+                found.append((x + a, y + a))
+        i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        ok = here(t, i, j)
+        i, j = i[ok], j[ok]
+        degree = np.bincount(i, minlength=len(n)) + np.bincount(j, minlength=len(n))
+        label = merged(np.arange(len(n)), i, j)
         firsts = t.column("first").combine_chunks()
         order = np.lexsort([firsts.field(c).to_numpy() for c in ("number", "row", "id")])
         rank = np.empty(len(n), dtype=np.int64)
         rank[order] = np.arange(len(n))
-        best = np.where(near[some], rank[None, :], len(n)).min(axis=1)
+        best = np.full(len(n), len(n))
+        np.minimum.at(best, i, rank[j])
+        np.minimum.at(best, j, rank[i])
+        some = np.flatnonzero(degree)
         keys, rows = t.column("key").combine_chunks(), firsts.field("row")
-        return pa.record_batch([keys.take(pa.array(some)), pa.array(degree[some].astype(np.int64)), firsts.take(pa.array(order[best])), rows.take(pa.array(some)), rows.take(pa.array(label[some]))], names=["sig", "n", "near", "a", "b"])
-
-    return handled(members, work, "sig long, n long, near struct<id: long, row: long, number: int>, a long, b long", parts)
+        return pa.record_batch([keys.take(pa.array(some)), pa.array(degree[some].astype(np.int64)), firsts.take(pa.array(order[best[some]])), rows.take(pa.array(some)), rows.take(pa.array(label[some]))], names=["sig", "n", "near", "a", "b"])
 
+    return handled(members, sizes, work, "sig long, n long, near struct<id: long, row: long, number: int>, a long, b long", parts)
 
 
 def remaining(text: pd.Series, removed: pd.Series) -> pd.Series:
@@ -396,13 +409,14 @@ def dedup(docs: DataFrame, least: float = 0.8, with_text: bool = False, with_lin
 
     survey = surveyed(rows)
     each = survey.where("chunk is null").select("id", "row", F.explode(F.arrays_zip("numbers", "sigs")).alias("l")).select("id", "row", F.col("l.numbers").alias("number"), F.col("l.sigs").alias("sig"))
-    met = components(candidates(rows, word_counts(survey), p, q, parts)).select(F.col("key").alias("sig"), F.col("root").alias("group"))
+    led = candidates(rows, word_counts(survey), p, q, parts)
+    met = led.groupBy("sig").agg(F.collect_set("group").alias("groups"))
     firsts = each.groupBy("sig").agg(F.min(F.struct("id", "row", "number")).alias("first"), F.count(F.lit(1)).alias("times"))
-    firsts = saved(firsts.join(met, "sig", "left").where("times > 1 or group is not null"))
-    wanted = firsts.where("group is not null")
+    firsts = saved(firsts.join(met, "sig", "left").where("times > 1 or groups is not null"))
+    wanted = firsts.where("groups is not null")
     tokens = tokens_of(rows, Bloom(wanted.select("sig")), Bloom(wanted.select("first.row")))
-    members = tokens.join(wanted, "sig").select("group", F.col("sig").alias("key"), "first", "tokens", F.octet_length("tokens").cast("long").alias("size"))
-    links = saved(linked(members, p, q, parts))
+    members = tokens.join(wanted, "sig").dropDuplicates(["sig"]).select(F.explode("groups").alias("group"), "groups", F.col("sig").alias("key"), "first", "tokens")
+    links = saved(linked(members, led.select("group", (F.col("n") * WORD_BYTES).alias("size")), p, q, parts))
 
     near = links.groupBy("sig").agg(F.min("near").alias("near"), F.sum("n").alias("n"))
     known = saved(firsts.join(near, "sig", "left").where("times > 1 or n is not null").select("sig", F.least("first", "near").alias("first"), F.coalesce("n", F.lit(0)).alias("n")))
