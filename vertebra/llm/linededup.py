@@ -296,6 +296,16 @@ def candidates(rows: DataFrame, counts: np.ndarray, p: int, q: int, parts: int)
     return saved(blocks.mapInArrow(meet, "sig long, group long, n long").distinct())
 
 
+def fewer(led: DataFrame) -> DataFrame:
+    """(sig, group, n), written: each group goes by the least group of any of its sets, so that sets are in fewer groups.
+
+    Sets that share a group still do. This is one step, not closure: chains of candidates don't grow into one group.
+    """
+    least = led.groupBy("sig").agg(F.min("group").alias("least"))
+    names = led.join(least, "sig").groupBy("group").agg(F.min("least").alias("name"))
+    return saved(led.join(names, "group").select("sig", F.col("name").alias("group"), "n").distinct())
+
+
 def tokens_of(rows: DataFrame, wanted: Bloom, held: Bloom) -> DataFrame:
     """(sig, tokens): the word hashes of sets in wanted, and of few others, from rows in held (and few others); some twice."""
     shared = rows.sparkSession.sparkContext.broadcast((wanted, held))
@@ -409,7 +419,7 @@ def dedup(docs: DataFrame, least: float = 0.8, with_text: bool = False, with_lin
 
     survey = surveyed(rows)
     each = survey.where("chunk is null").select("id", "row", F.explode(F.arrays_zip("numbers", "sigs")).alias("l")).select("id", "row", F.col("l.numbers").alias("number"), F.col("l.sigs").alias("sig"))
-    led = candidates(rows, word_counts(survey), p, q, parts)
+    led = fewer(candidates(rows, word_counts(survey), p, q, parts))
     met = led.groupBy("sig").agg(F.collect_set("group").alias("groups"))
     firsts = each.groupBy("sig").agg(F.min(F.struct("id", "row", "number")).alias("first"), F.count(F.lit(1)).alias("times"))
     firsts = saved(firsts.join(met, "sig", "left").where("times > 1 or groups is not null"))

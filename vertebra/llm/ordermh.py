@@ -7,14 +7,16 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vertebra.llm.common import WORD, Bloom, Words, buffers, grams, mixed, saved, slices
-from vertebra.llm.groups import components
+from vertebra.llm.groups import components, handled, here
 
 #: Longs of a text's parity bits.
 PARITY_WORDS = 8
+#: Pairs that are aligned before those that links have connected are left out again.
+BATCH = 64
 
 _SEEDS = np.random.default_rng(77).integers(1, 2**63, size=64, dtype=np.uint64)
 
@@ -45,17 +47,28 @@ def shingles(words: Words, k: int):
 
 
 def sketches(own: np.ndarray, m: int, l: int) -> np.ndarray:
-    """m hashes, each of the l k-mers with the smallest values under one seed, in text order."""
-    out = np.empty(m, dtype=np.uint64)
-    for r in range(m):
-        x = (own ^ _SEEDS[r]) * np.uint64(0x9E3779B97F4A7C15)
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0xD6E8FEB86659FD93)
-        at = np.sort(np.argpartition(x, l - 1)[:l]) if len(own) > l else np.arange(len(own))
-        h = np.uint64(r + 1)
-        for v in own[at]:
-            h = mixed_one(h ^ v)
-        out[r] = h
+    """m hashes, each of the l k-mers with the smallest values under one seed, in text order (all k-mers, if fewer).
+
+    Texts of many k-mers first leave out those whose values can't be among the smallest, seed by seed.
+    """
+    out = np.arange(1, m + 1, dtype=np.uint64)
+    if len(own) > l:
+        chosen = np.empty((m, l), dtype=np.uint64)
+        for r in range(m):
+            x = (own ^ _SEEDS[r]) * np.uint64(0x9E3779B97F4A7C15)
+            x ^= x >> np.uint64(32)
+            x *= np.uint64(0xD6E8FEB86659FD93)
+            if len(x) > 64 * l:
+                low = np.flatnonzero(x < np.uint64(2**63 // len(x) * 8 * l))
+                at = low[np.argpartition(x[low], l - 1)[:l]] if len(low) > l else np.argpartition(x, l - 1)[:l]
+            else:
+                at = np.argpartition(x, l - 1)[:l]
+            at.sort()
+            chosen[r] = own[at]
+    else:
+        chosen = np.broadcast_to(own, (m, len(own)))
+    for c in range(chosen.shape[1]):
+        out = mixed(out ^ chosen[:, c])
     return out
 
 
@@ -89,16 +102,6 @@ def parities(own: np.ndarray) -> np.ndarray:
     return np.packbits(flips.astype(np.uint8)).view(np.int64)
 
 
-def reachable(x: str, y: str, least: float) -> Column:
-    """Whether two texts can be that similar, by the counts and parities of their k-mers in the structs x and y.
-
-    With matches / (n + m - matches) >= least, at most (n + m) (1 - least) / (1 + least) k-mers are unmatched.
-    """
-    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    apart = sum((F.bit_count(F.col(f"{x}.bits")[i].bitwiseXOR(F.col(f"{y}.bits")[i])) for i in range(1, PARITY_WORDS)), F.bit_count(F.col(f"{x}.bits")[0].bitwiseXOR(F.col(f"{y}.bits")[0])))
-    return (F.least(n, m) >= F.greatest(n, m) * least - 1e-6) & (apart <= (n + m) * ((1 - least) / (1 + least)) + 1e-6)
-
-
 def aligned(a: np.ndarray, b: np.ndarray, least: float) -> float:
     """Similarity of two sequences of labelled k-mers: matches of the best alignment by those in either.
 
@@ -130,110 +133,103 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float) -> float:
     return best / (n + m - best)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(key, root): each linked key and the smallest key that it is connected with.
+def verified(texts: DataFrame, sizes: DataFrame, k: int, least: float, parts: int) -> DataFrame:
+    """(a, b): links that connect the texts (group, groups, key, text) of each group that align with this similarity.
+
+    A place's texts meet in rounds: pairs whose counts and parities of runs show that they can't be similar enough are
+    dropped by an exact bound; of the others, those with the fewest bits apart are aligned first, and pairs that links
+    have connected by then are left out. So many copies of one text take about one alignment each.
+    """
 
-    Every round, each key takes the smallest root among its own and its neighbours', then its root's root; the tables of
-    links and roots stay distributed, and each round's is written, so that no lineage grows.
+    def work(t: pa.Table, cut: np.ndarray) -> pa.RecordBatch:
+        runs: list[np.ndarray] = []
+        for part in slices(t.select(["text"]).to_batches(), 0):
+            runs += list(shingles(Words(*buffers(part.column(0))), k))
+        n = np.array([len(x) for x in runs])
+        bits = np.stack([parities(x) for x in runs]).view(np.uint64)
+        label = np.arange(len(n))
+        a: list[int] = []
+        b: list[int] = []
+        for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            i, j, far = possible(n[x:y], bits[x:y], least)
+            if not len(i):
+                continue
+            ok = here(t, i + x, j + x)
+            i, j, far = i[ok] + x, j[ok] + x, far[ok]
+            order = np.argsort(far, kind="stable")
+            i, j = i[order], j[order]
+            while len(i):
+                apart = label[i] != label[j]
+                i, j = i[apart], j[apart]
+                for u, v in zip(i[:BATCH].tolist(), j[:BATCH].tolist(), strict=True):
+                    if label[u] != label[v] and aligned(runs[u], runs[v], least) >= least:
+                        a.append(u)
+                        b.append(v)
+                        low, high = sorted((label[u], label[v]))
+                        label[x:y][label[x:y] == high] = low
+                i, j = i[BATCH:], j[BATCH:]
+        keys = t.column("key").combine_chunks()
+        return pa.record_batch([keys.take(pa.array(z, pa.int64())) for z in (a, b)], names=["a", "b"])
+
+    return handled(texts, sizes, work, "a binary, b binary", parts)
+
+
+def possible(n: np.ndarray, bits: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs i < j of texts that can be that similar by counts and parities of their runs, and how many bits are apart.
+
+    With matches / (n + m - matches) >= least, at most (n + m) (1 - least) / (1 + least) runs are unmatched.
     """
-    both = saved(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    roots = saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "key"))
-    while True:
-        near = both.join(roots, both["b"] == roots["key"]).groupBy("a").agg(F.min("root").alias("near"))
-        step = roots.join(near, roots["key"] == near["a"]).select("key", F.col("root").alias("was"), F.least("root", "near").alias("root"))
-        up = roots.select(F.col("key").alias("root"), F.col("root").alias("up"))
-        done = saved(step.join(up, "root").select("key", "was", F.col("up").alias("root")))
-        changed = done.where("was <> root").limit(1).count()
-        roots = done.select("key", "root")
-        if not changed:
-            return roots
-
-
-def verified(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
-    """The pairs (a, b) of keys whose texts align with at least this similarity."""
-    left, right = texts.select(F.col("key").alias("a"), F.col("text").alias("left")), texts.select(F.col("key").alias("b"), F.col("text").alias("right"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-
-    def run(batches):
-        last, own = None, None
-        for part in slices(batches, 3, 1 << 20):
-            a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
-            right = list(shingles(Words(*buffers(part.column(3))), k))
-            keep = np.zeros(len(a), dtype=bool)
-            for i in range(len(a)):
-                if a[i] != last:
-                    last, own = a[i], next(iter(shingles(Words(*buffers(part.column(2).slice(i, 1))), k)))
-                keep[i] = aligned(own, right[i], least) >= least
-            at = pa.array(np.flatnonzero(keep))
-            yield pa.record_batch([part.column(0).take(at), part.column(1).take(at)], names=["a", "b"])
-
-    return both.mapInArrow(run, "a binary, b binary")
-
-
-def grouped(docs: DataFrame, k: int = 5, least: float = 0.8, m: int = 24, l: int = 5, rounds: int = 2) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    out = []
+    for i in range(len(n) - 1):
+        m = n[i + 1 :]
+        far = np.bitwise_count(bits[i] ^ bits[i + 1 :]).sum(axis=1)
+        j = np.flatnonzero((np.minimum(n[i], m) >= np.maximum(n[i], m) * least - 1e-6) & (far <= (n[i] + m) * ((1 - least) / (1 + least)) + 1e-6))
+        if len(j):
+            out.append((np.full(len(j), i), j + i + 1, far[j].astype(np.int64)))
+    return tuple(np.concatenate([o[c] for o in out]) if out else np.zeros(0, dtype=np.int64) for c in range(3))
+
+
+def grouped(docs: DataFrame, k: int = 5, least: float = 0.8, m: int = 24, l: int = 5) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """For near_duplicates(): rows (doc_id, text, key), texts (key, first_id, ...), roots (key, root) of linked texts, links (a, b)."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", "text").withColumn("key", F.when(F.col("text").rlike(WORD), F.unhex(F.md5("text"))))
 
     def sketch(batches):
         for part in slices(batches, 0):
             words = Words(*buffers(part.column(0)))
-            out, sizes, bits, short = [], [], [], []
+            out, sizes, short = [], [], []
             for s in shingles(words, k):
                 # a text similar to one of at most 2 l * least runs has at most 2 l, so it is met exactly
                 out.append(sketches(s, m, l).view(np.int64) if len(s) > 2 * l * least + 1e-9 else [])
                 short.append(shortened(s, least) if len(s) <= 2 * l else ([], []))
                 sizes.append(len(s))
-                bits.append(parities(s))
-            marks = pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), pa.array(bits, pa.list_(pa.int64()))], names=["n", "bits"])
             less = [pa.array([x[i] for x in short], pa.list_(t)) for i, t in enumerate((pa.int64(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(out, pa.list_(pa.int64())), *less, marks], names=["key", "doc_id", "sketch", "short", "gone", "mark"])
+            size = pa.array(np.diff(words.offsets), pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(out, pa.list_(pa.int64())), *less, pa.array(sizes, pa.int32()), size], names=["key", "doc_id", "sketch", "short", "gone", "n", "size"])
 
-    made = rows.where("key is not null").select("text", "key", F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(sketch, "key binary, doc_id long, sketch array<long>, short array<long>, gone array<int>, mark struct<n: int, bits: array<long>>")
-    texts = saved(made.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("sketch").alias("sketch"), F.first("short").alias("short"), F.first("gone").alias("gone"), F.first("mark").alias("mark")))
+    made = rows.where("key is not null").select("text", "key", F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(sketch, "key binary, doc_id long, sketch array<long>, short array<long>, gone array<int>, n int, size long")
+    firsts = [F.first(c).alias(c) for c in ("sketch", "short", "gone", "n", "size")]
+    texts = saved(made.groupBy("key").agg(F.min("doc_id").alias("first_id"), *firsts))
     listed = texts.select("key", F.posexplode("sketch").alias("r", "h")).select("key", F.xxhash64("r", "h").alias("list"))
     heads = listed.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("head")).where("n > 1")
-    listed = saved(listed.join(heads, "list").select("list", "key", "head"))
-    less = texts.select("key", F.col("mark.n").alias("n"), F.explode(F.arrays_zip("short", "gone")).alias("x")).select("key", F.col("x.short").alias("h"), F.col("x.gone").alias("d"), (F.col("n") - F.col("x.gone")).alias("left"))
+    less = texts.select("key", "n", F.explode(F.arrays_zip("short", "gone")).alias("x")).select("key", F.col("x.short").alias("h"), F.col("x.gone").alias("d"), (F.col("n") - F.col("x.gone")).alias("left"))
     spare = F.floor(F.col("left") * ((1 - least) / least) + 1e-9)
     fewest = less.groupBy("h", "left").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "key")).alias("head")).where((F.col("n") > 1) & (2 * F.col("head.d") <= spare))
-    met = less.join(fewest.select("h", "left", "head"), ["h", "left"]).where((F.col("key") != F.col("head.key")) & (F.col("d") + F.col("head.d") <= spare))
-    short = saved(met.select(F.col("head.key").alias("a"), F.col("key").alias("b")).distinct())
-    wanted = listed.select("key").union(short.select(F.explode(F.array("a", "b")))).distinct().join(texts.select("key", "first_id", "mark"), "key").select("key", F.coalesce("first_id", F.lit(-(2**63))).alias("id"), "mark")
-    wanted = saved(wanted)
-    marks = wanted.select("key", "mark")
-
-    def possible(pairs: DataFrame) -> DataFrame:
-        x, y = marks.select(F.col("key").alias("a"), F.col("mark").alias("x")), marks.select(F.col("key").alias("b"), F.col("mark").alias("y"))
-        return pairs.join(x, "a").join(y, "b").where(reachable("x", "y", least)).select("a", "b")
-
-    pairs = saved(possible(listed.where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")).union(short.select(F.least("a", "b"), F.greatest("a", "b"))).distinct()))
+    met = less.join(saved(fewest.select("h", "left", "head")), ["h", "left"]).where((F.col("key") != F.col("head.key")) & (F.col("d") + F.col("head.d") <= spare))
+    short = met.select(F.explode(F.array("key", "head.key")).alias("key"), F.col("head.key").alias("group"))
+    led = saved(listed.join(saved(heads), "list").select("key", F.col("head").alias("group")).union(short).distinct())
+    low = led.groupBy("key").agg(F.min("group").alias("least"))
+    names = led.join(low, "key").groupBy("group").agg(F.min("least").alias("name"))
+    led = saved(led.join(names, "group").select("key", F.col("name").alias("group")).distinct())
+
+    wanted = led.groupBy("key").agg(F.collect_set(F.xxhash64("group")).alias("groups"))
+    wanted = saved(wanted.join(texts.select("key", "first_id", "size"), "key").select("key", "groups", "size", F.coalesce("first_id", F.lit(-(2**63))).alias("id")))
     source = rows.where("key is not null").select("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), "text")
     source = source.where(Bloom(wanted.select(F.xxhash64("key", "id"))).test(F.xxhash64("key", "id")))
-    candidates = saved(source.join(wanted.select("key", "id"), ["key", "id"]).dropDuplicates(["key"]).select("key", "text"))
-
-    links = saved(verified(pairs, candidates, k, least))
-    roots = components(links)
-    for r in range(rounds + 1):
-        placed = listed.join(roots, "key", "left").select("list", "key", F.coalesce("root", "key").alias("root"))
-        per_class = placed.groupBy("list", "root").agg(F.count(F.lit(1)).alias("n"), F.min_by("key", F.xxhash64("key", F.lit(r))).alias("one"))
-        largest = per_class.groupBy("list").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "root", "one")).alias("largest")).where("classes > 1").select("list", "largest.root", "largest.one")
-        largest = largest.withColumnRenamed("root", "largest")
-        open_ = saved(placed.join(largest, "list").select("list", "key", "root", "one", (F.col("root") == F.col("largest")).alias("inside")))
-        rest = open_.where("not inside")
-        if r < rounds:
-            met = possible(rest.select(F.least("key", "one").alias("a"), F.greatest("key", "one").alias("b")).distinct())
-        else:
-            every = open_.join(marks, "key").select("list", F.col("key").alias("y"), F.col("root").alias("y_root"), "inside", F.col("mark").alias("y_mark"))
-            rest = rest.join(marks, "key").select("list", F.col("key").alias("x"), F.col("root").alias("x_root"), F.col("mark").alias("x_mark"))
-            ours = (F.col("x_root") != F.col("y_root")) & (F.col("inside") | (F.col("x") < F.col("y")))
-            met = rest.join(every, "list").where(ours & reachable("x_mark", "y_mark", least)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        more = saved(met.join(pairs, ["a", "b"], "left_anti"))
-        found = saved(verified(more, candidates, k, least))
-        pairs = pairs.unionByName(more)
-        if found.limit(1).count():
-            links = links.unionByName(found)
-            roots = components(links)
-    return rows, texts, roots, links
+    members = source.join(wanted.select("key", "id", "groups"), ["key", "id"]).dropDuplicates(["key"])
+    members = members.select(F.explode("groups").alias("group"), "groups", "key", "text")
+    links = saved(verified(members, wanted.select(F.explode("groups").alias("group"), "size"), k, least, parts))
+    return rows, texts, components(links), links
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
@@ -245,13 +241,12 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     a similarity spares; who is similar enough to anyone there is so to the text with the fewest left out, and meets that one. A class is what links connect; n_links counts verified links of the document's text that
     the search needed, n_texts the different texts of its class.
 
-    Before texts are fetched, pairs whose counts and parities of runs show that they can't be similar enough are dropped;
-    that bound is exact, so no link goes with them. No list of a sketch is expanded into pairs: first each text is compared with its list's smallest key only, then, for
-    some rounds, the texts outside the list's largest class with one text of that class. Lists that even then hold more
-    than one class compare the texts outside the largest with all texts of other classes there, so that no link between
-    classes is left out, whatever the list's size.
+    No list of a sketch is expanded into pairs. A list goes by its smallest text, or by the smallest of any that its texts'
+    lists go by; under that name its texts are sent once, in blocks of bounded size of which any two meet, and are compared
+    there until links connect all that are similar. So no link between classes is left out, whatever the list's size.
 
     Texts without a word (null too) are classes of their own. A null doc_id is the smallest of its class only if all are.
+    Columns but doc_id and text are not looked at; repeated rows come back as often; an empty table gives none.
     """
     rows, texts, roots, links = grouped(docs, **options)
     degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
