@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vertebra.llm import ann, bpe, mixing, queries
+from vertebra.llm import ann, bpe, langid, mixing, queries
 
 from .conftest import WORD
 
@@ -167,3 +167,59 @@ def test_all_registered():
 
     names = set(__spark_entry__.queries())
     assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in names if n.startswith("op")} and "pipeline" in names
+
+
+def test_language_of_long_texts(spark):
+    """A language that has only long texts is learned, and so is a model when there are no others."""
+    words = {"xx": ["alpha", "beta", "gamma"], "yy": ["uno", "dos", "tres"]}
+    rows = [(i, " ".join(words[g][(i * 7 + j * j) % 3] for j in range(15_000)), g) for i, g in enumerate(["xx", "yy"] * 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = langid.predict(df.withColumn("Score", F.lit("theirs")), langid.fit(df)).collect()
+    assert all(r.lang_pred == r.lang for r in out) and "Score" not in out[0].asDict()
+
+
+def test_code_lengths_against_plain_ppm(spark):
+    """Frozen PPM of order 3 with method C escapes, coded again with dictionaries."""
+    from collections import Counter, defaultdict
+    from math import log2
+
+    train = {"a": "the cat and the hat", "b": "der hut und der hund"}
+    rows = [(i, t, g) for g, t in train.items() for i in range(20)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").where("crc32(cast(doc_id as string)) % 5 != 0").limit(0).unionByName(spark.createDataFrame([(1, t, g) for g, t in train.items()], "doc_id long, text string, lang string")))
+    text = b"the hund and thx"
+    codes = langid.codes_of(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 3)
+    got = model.bits(codes).sum(axis=0)
+    for n, lang in enumerate(model.langs):
+        seen = defaultdict(Counter)
+        padded = b"\0\0\0" + train[lang].encode()
+        for at in range(3, len(padded)):
+            for k in range(4):
+                seen[padded[at - k : at]][padded[at]] += 1
+        total, whole = 0.0, b"\0\0\0" + text
+        for at in range(3, len(whole)):
+            for k in (3, 2, 1, 0):
+                c = seen.get(whole[at - k : at], Counter())
+                if c[whole[at]]:
+                    total -= log2(c[whole[at]] / (sum(c.values()) + len([x for x in c.values() if x])))
+                    break
+                if sum(c.values()):
+                    total -= log2(len([x for x in c.values() if x]) / (sum(c.values()) + len([x for x in c.values() if x])))
+            else:
+                total += 8
+        assert got[n] == pytest.approx(total)
+
+
+def test_small_sources_come_near_their_targets(spark):
+    rows = [(i, f"s{i:02d}", " ".join(f"w{j}" for j in range(60))) for i in range(12)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    assert all(abs(r.taken - r.target) <= 2 and r.taken <= 3 * r.size for r in out)
+    mixed = [*rows, *((100 + i, "huge", " ".join(["v"] * 900)) for i in range(40))]
+    got = mixing.mix(spark.createDataFrame(mixed, "doc_id long, source string, text string")).groupBy("source").agg(F.sum("taken").alias("n"), F.max("target").alias("t")).collect()
+    assert all(abs(r.n - r.t) <= 0.1 * r.t + 1 for r in got)
+
+
+def test_repeated_queries(spark):
+    """Rows of one vec_id are one query; every candidate row counts once, repeated ones as often as they stand there."""
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [1.0, 0.0]), (1, [1.0, 0.1]), (1, [1.0, 0.1]), (2, [0.3, 1.0]), (3, [1.0, 0.5]), (4, [1.0, 1.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [(r.query_id, r["rank"], r.vec_id) for r in got] == [(50, 1, 1), (50, 2, 1), (50, 3, 2), (50, 4, 3), (50, 5, 4)]

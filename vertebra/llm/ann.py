@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -134,6 +136,8 @@ def search(vectors: DataFrame, column: str = "embedding", every: int = 50, k: in
     with a block's k-th are all scored again, row by row in double precision, so equal vectors get equal scores and ties
     go to the smaller vec_id. Vectors that are null, zero, of another than the commonest length or not finite take no
     part; fewer than k candidates are all returned; no vectors give no rows. A row of the query's own vec_id is no candidate.
+    Rows that share a query's vec_id are one query, near to a candidate as the nearest of them is. Each row is a candidate
+    once, so repeated rows are returned as often as they stand in the table.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, column)
@@ -187,7 +191,7 @@ def search(vectors: DataFrame, column: str = "embedding", every: int = 50, k: in
     indexed = blocks(rows.mapInArrow(index, packed))
     queries = rows.where(F.col("vec_id") % every == 0)
     own = queries.groupBy("vec_id").agg(F.count(F.lit(1)).alias("own")).where("own > 1")
-    queries = queries.join(own, "vec_id", "left").select("vec_id", "v", F.coalesce("own", F.lit(1)).alias("own"))
+    queries = queries.dropDuplicates(["vec_id", "v"]).join(own, "vec_id", "left").select("vec_id", "v", F.coalesce("own", F.lit(1)).alias("own"))
     asked = blocks(queries.mapInArrow(visits, packed))
     pairs = indexed.select("leaf", F.col("rows").alias("c")).join(asked.select("leaf", F.col("rows").alias("q")), "leaf")
 
@@ -196,6 +200,12 @@ def search(vectors: DataFrame, column: str = "embedding", every: int = 50, k: in
             for cs, qs in zip(f["c"], f["q"], strict=True):
                 ids, x = np.array([r["vec_id"] for r in cs]), np.array([np.frombuffer(r["v"]) for r in cs])
                 qids, q = np.array([r["vec_id"] for r in qs]), np.array([np.frombuffer(r["v"]) for r in qs])
+                marks = [int.from_bytes(hashlib.blake2b(r["v"], digest_size=8).digest(), "little", signed=True) for r in cs]
+                times: Counter = Counter()
+                copy = []
+                for z in zip(ids.tolist(), marks, strict=True):  # equal rows share a block
+                    copy.append(times[z])
+                    times[z] += 1
                 ux, uq = unit(x), unit(q)
                 sim = uq @ ux.T
                 sim[qids[:, None] == ids[None, :]] = -9
@@ -206,9 +216,10 @@ def search(vectors: DataFrame, column: str = "embedding", every: int = 50, k: in
                     near = np.flatnonzero((s >= least) & (s > -9))
                     exact = (ux[near] * uq[i]).sum(axis=1)
                     order = np.lexsort((ids[near], -exact))[:k]
-                    out += zip([qids[i]] * len(order), ids[near][order], exact[order], strict=True)
-                yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+                    out += zip([qids[i]] * len(order), [marks[x] for x in near[order]], [copy[x] for x in near[order]], ids[near][order], exact[order], strict=True)
+                yield pd.DataFrame(out, columns=["query_id", "mark", "copy", "vec_id", "score"])
 
-    found = pairs.mapInPandas(compare, "query_id long, vec_id long, score double")
+    found = pairs.mapInPandas(compare, "query_id long, mark long, copy int, vec_id long, score double")
+    found = found.repartition("query_id").groupBy("query_id", "vec_id", "mark", "copy").agg(F.max("score").alias("score"))
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertebra.llm.common import buffers, learnable, slices, with_fields
+from vertebra.llm.common import beside, buffers, learnable, slices, with_fields
 
 
 @dataclass
@@ -61,22 +61,25 @@ def codes_of(data: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
     return codes
 
 
-def fit(docs: DataFrame, order: int = 3, rows_per_lang: int = 400, most_bytes: int = 1 << 16) -> Model | None:
+def fit(docs: DataFrame, order: int = 3, rows_per_lang: int = 400, most_chars: int = 1 << 16) -> Model | None:
     """Context statistics of each language in `lang`, from documents that may be learned from; None if there are none.
 
-    The sample: whole texts of at most most_bytes bytes, chosen by a hash of the row so that about rows_per_lang
-    different rows per language are expected. Counting is a grouped sum on Spark; what the driver gets is bounded by the
-    sample, that is by languages x rows_per_lang x most_bytes.
+    The sample: rows chosen by a hash so that about rows_per_lang different ones per language are expected, all of a
+    language that has fewer; of a text longer than most_chars characters that many in a row, from a place set by the hash.
+    Counting is a grouped sum on Spark; what the driver gets is bounded by the sample, that is by languages x
+    rows_per_lang x most_chars.
     """
     rows = docs.where(learnable(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     share = F.coalesce(F.lit(rows_per_lang) / F.col("n"), F.lit(1.0))
     chosen = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share * (1 << 30)
+    spare = F.greatest(F.char_length("text") - most_chars, F.lit(0))
+    slice_ = F.when(spare > 0, F.substring(F.col("text"), (F.pmod(F.xxhash64("text"), spare + 1) + 1).cast("int"), F.lit(most_chars))).otherwise(F.col("text"))
     langs = {r.lang: r.n for r in sizes.collect()}
     if not langs:
         return None
     rate = F.create_map(*[x for lang, n in sorted(langs.items()) for x in (F.lit(lang), F.lit(n))])
-    sample = rows.withColumn("n", F.element_at(rate, F.col("lang"))).where(chosen & (F.octet_length("text") <= most_bytes)).select("lang", "text").distinct()
+    sample = rows.withColumn("n", F.element_at(rate, F.col("lang"))).where(chosen).select("lang", slice_.alias("text")).distinct()
 
     def count(batches):
         for part in slices(batches, 1):
@@ -107,14 +110,14 @@ def fit(docs: DataFrame, order: int = 3, rows_per_lang: int = 400, most_bytes: i
     return Model(names, order, levels)
 
 
+@beside(("text",), ("lang_pred", "score"))
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """Adds lang_pred and score to every row; columns so named are replaced.
 
     Each language codes the whole text; the shortest code wins (ties: the first by name). score is the winner's share of
     probability when a code counts per byte of text, 2 ** -bits / bytes. A text that is null, has no letter, or meets no
-    model is `und` with score 0.
+    model is `und` with score 0. Repeated rows come back as often, with equal results; an empty table gives no rows.
     """
-    docs = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score")])
     if model is None:
         return docs.withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0))
     spark = docs.sparkSession

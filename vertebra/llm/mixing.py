@@ -60,7 +60,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, blo
     """Adds size, source_size, target, taken, __source, __shard and __order to every row; input columns so named are replaced.
 
     A source's documents are dealt by hash to shards of about shard_rows rows; a shard's documents, in seeded order, form
-    a stream of words that is cut into blocks of block_words. Sainte-Laguë gives each source blocks by its target, then
+    a stream of words that is cut into blocks: of block_words words, or fewer in all sources if the smallest target is
+    under 64 such blocks (a 64th of it, at least a word), so that rounding to blocks stays small against any target. Sainte-Laguë gives each source blocks by its target, then
     each shard of the source blocks by its size. A shard with n blocks and quota q takes every block q div n times and
     q mod n blocks, chosen by a seeded order, once more. taken counts the words of a document in the blocks so taken.
 
@@ -81,25 +82,27 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, blo
     sources = shards.groupBy("__source").agg(F.sum("shard_size").alias("source_size"))
     sources = source_targets(sources.select(F.when(~F.col("__source.none"), F.col("__source.name")).alias("source"), "__source", "source_size"), weights, cap)
     total = F.sum("source_size").over(W.partitionBy(F.lit(0)))
-    sources = sources.withColumn("__blocks", F.round(total / block_words).cast("long"))
+    least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(W.partitionBy(F.lit(0)))
+    block = F.coalesce(F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(least / 64))), F.lit(block_words)).cast("long")
+    sources = sources.withColumn("__block", block).withColumn("__blocks", F.round(total / F.col("__block")).cast("long"))
     sources = apportion(sources, [], "target", "__blocks", "source_rank", "source_quota")
-    shards = shards.join(few_or_plain(sources.select("__source", "source_size", "target", "source_quota"), n_sources), "__source")
+    shards = shards.join(few_or_plain(sources.select("__source", "source_size", "target", "source_quota", "__block"), n_sources), "__source")
     shards = apportion(shards, ["__source"], "shard_size", "source_quota", "__shard", "quota")
-    n = F.ceil(F.col("shard_size") / block_words).cast("long")
+    n = F.ceil(F.col("shard_size") / F.col("__block")).cast("long")
     shards = shards.withColumn("__n", n).withColumn("quota", F.least(F.col("quota"), cap * n))
 
     stream = W.partitionBy("__source", "__shard").orderBy("__order").rowsBetween(W.unboundedPreceding, W.currentRow)
-    df = sized.withColumn("__to", F.sum("size").over(stream)).join(shards.select("__source", "__shard", "source_size", "target", "quota", "__n"), ["__source", "__shard"])
+    df = sized.withColumn("__to", F.sum("size").over(stream)).join(shards.select("__source", "__shard", "source_size", "target", "quota", "__n", "__block"), ["__source", "__shard"])
     shard_seed = F.xxhash64(F.lit(seed), F.col("__source"), F.col("__shard"))
     times, at = F.element_at(F.array(*[F.lit(p) for p in PRIMES]), (F.pmod(shard_seed, F.lit(len(PRIMES))) + 1).cast("int")), F.col("__to") - F.col("size")
     df = df.withColumn("__times", times).withColumn("__shift", F.pmod(shard_seed, F.greatest(F.col("__n"), F.lit(1)))).withColumn("__from", at)
 
     def words_of(block: Column) -> Column:
         more = F.pmod(F.col("__times") * block + F.col("__shift"), F.col("__n")) < F.col("quota") % F.col("__n")
-        inside = F.least(F.col("__to"), (block + 1) * block_words) - F.greatest(F.col("__from"), block * block_words)
+        inside = F.least(F.col("__to"), (block + 1) * F.col("__block")) - F.greatest(F.col("__from"), block * F.col("__block"))
         return (F.floor(F.col("quota") / F.col("__n")) + more.cast("long")) * inside
 
-    blocks = F.sequence(F.floor(F.col("__from") / block_words), F.floor((F.col("__to") - 1) / block_words))
+    blocks = F.sequence(F.floor(F.col("__from") / F.col("__block")), F.floor((F.col("__to") - 1) / F.col("__block")))
     taken = F.when(F.col("size") > 0, F.aggregate(blocks, F.lit(0).cast("long"), lambda total, b: total + words_of(b))).otherwise(F.lit(0).cast("long"))
     return df.withColumn("taken", taken).select(*docs.columns, "size", "source_size", "target", "taken", "__source", "__shard", "__order")
 
