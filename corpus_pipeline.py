@@ -53,7 +53,8 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [("toxicity", toxicity_stage), ("line_dedup", line_dedup_stage), ("near_dedup", near_dedup_stage), ("mixing", mixing_stage), ("encoding", encoding_stage)]
 
-#: Learned scores, alignment and BPE are beyond SQL; tests/llm compares the stages with brute force.
+#: Learned scores, alignment and BPE are beyond SQL. tests/llm holds line dedup, near dedup and encoding against brute force
+#: or the public library by operator, toxicity by accuracy, mixing by its targets; of the whole pipeline it holds the counts.
 ORACLE_SQL = None
 
 
