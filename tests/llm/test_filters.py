@@ -178,3 +178,24 @@ def test_trigram_queries():
     assert by["hex"] == [] and by["access"] == [[frozenset({"aki", "kia"})]]
     assert all(any(a <= set(s[i : i + 3] for i in range(len(s))) for a in by["assign"][0]) for s in ("passwd=", "api_key:", "token ="))
     assert WORD.findall("a b") == ["a", "b"]
+
+
+def test_pieces_lose_no_word(spark):
+    """The automaton finds the same words with and without the test of pieces."""
+    import random
+
+    from vertebra.llm.toxicity import FuzzyTrie
+
+    rng = random.Random(5)
+    letters = "abcd"
+    terms = ["".join(rng.choice(letters) for _ in range(rng.randint(4, 13))) + rng.choice(["", "", "*"]) for _ in range(60)]
+    quick, plain = FuzzyTrie(terms), FuzzyTrie(terms)
+    plain.may = lambda word: True
+    for _ in range(4000):
+        w = list(rng.choice(terms).rstrip("*"))
+        for _ in range(rng.randint(0, 3)):
+            at, what = rng.randint(0, len(w)), rng.random()
+            w[at : at + (what > 0.3)] = [rng.choice(letters)] if what < 0.7 else []
+        w = "".join(w)
+        if w:
+            assert quick.edits(w) == plain.edits(w)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertebra.llm.common import few_or_plain, learnable, saved, slices, with_fields
+from vertebra.llm.common import beside, few_or_plain, learnable, saved, slices, with_fields
 
 # A word may start with symbols that stand for letters; their run is read once, so that long rows of them cost no more.
 LEADS = "@$*!"
@@ -27,11 +27,14 @@ class FuzzyTrie:
 
     A state is a set of (trie node, edits so far); reading a character keeps it, changes it, skips it or skips a trie
     character, as the Levenshtein automaton of each term would. Sets and moves are remembered, so a word costs one look-up
-    per character and most words end after a few. Edits may be anywhere, the first character included; prefixes must fit
-    exactly; words of at least 5 (9) characters may have 1 (2) edits. What is remembered is bounded, and then made anew.
+    per character. Edits may be anywhere, the first character included; prefixes must fit exactly; words of at least 5 (9)
+    characters may have 1 (2) edits. What is remembered is bounded, and then made anew.
+
+    A term cut into one piece more than the edits it allows keeps a piece whole in each word that it fits: the first one at
+    the start, the last one at the end, one between near its place. Words without such a piece don't enter the automaton.
     """
 
-    def __init__(self, terms: list[str], most_words: int = 200_000, most_items: int = 1_000_000):
+    def __init__(self, terms: list[str], most_words: int = 200_000, most_items: int = 200_000):
         self.children: list[dict[str, int]] = [{}]
         self.ends: dict[int, int] = {}
         self.stars: set[int] = set()
@@ -47,6 +50,10 @@ class FuzzyTrie:
                 self.stars.add(node)
             else:
                 self.ends[node] = 2 if len(term) >= 9 else 1 if len(term) >= 5 else 0
+        self.pieces: set[tuple[str, int, int, str]] = set()
+        self.cuts: set[tuple[str, int, int, bool]] = set()
+        for term in terms:
+            self._cut(term)
         self.deepest = self._deepest()
         first: dict[int, int] = {}
         self._add(first, 0, 0)
@@ -54,10 +61,40 @@ class FuzzyTrie:
         self._forget()
         self.known: dict[str, float] = {}
 
+    def _cut(self, term: str) -> None:
+        """Pieces: (where, place, size of the word or 0 for any, piece)."""
+        if term.endswith("*"):
+            self._piece("start", 0, range(1), term.rstrip("*"))
+            return
+        e = 2 if len(term) >= 9 else 1 if len(term) >= 5 else 0
+        sizes = range(len(term) - e, len(term) + e + 1)
+        at = [len(term) * i // (e + 1) for i in range(e + 2)]
+        for i, (a, b) in enumerate(zip(at, at[1:], strict=False)):
+            if i in (0, e):
+                self._piece("start" if i == 0 else "end", 0, sizes, term[a:b])
+            else:
+                for place in range(max(0, a - e), a + e + 1):
+                    self._piece("middle", place, sizes, term[a:b])
+
+    def _piece(self, where: str, place: int, sizes: range, piece: str) -> None:
+        self.cuts.add((where, place, len(piece), not sizes[-1]))
+        self.pieces.update((where, place, n, piece) for n in sizes)
+
+    def may(self, word: str) -> bool:
+        """Whether a piece of some term is where edits would have left it."""
+        size, pieces = len(word), self.pieces
+        for where, place, k, any_size in self.cuts:
+            piece = word[place : place + k] if where != "end" else word[-k:]
+            if (where, place, 0 if any_size else size, piece) in pieces:
+                return True
+        return False
+
     def _forget(self) -> None:
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
+        self.starred: list[bool] = []
+        self.accepted: list[int | None] = []
         self.items = 0
         self.start = self._state(self.first)
 
@@ -73,6 +110,8 @@ class FuzzyTrie:
             self.states[items] = len(self.sets)
             self.sets.append(items)
             self.moves.append({})
+            self.starred.append(any(e == 0 and n in self.stars for n, e in items))
+            self.accepted.append(min((e for n, e in items if e <= self.ends.get(n, -1)), default=None))
             self.items += len(items) + 1
         return self.states[items]
 
@@ -98,18 +137,19 @@ class FuzzyTrie:
 
     def edits(self, word: str) -> int | None:
         """Fewest edits to a term that allows them; None if there is none."""
+        if not self.may(word):
+            return None
         if self.items > self.most_items:
             self._forget()
         state = self.start
         for c in word:
             to = self.moves[state].get(c)
             state = self._step(state, c) if to is None else to
-            items = self.sets[state]
-            if not items:
-                return None
-            if self.stars and any(e == 0 and n in self.stars for n, e in items):
+            if self.starred[state]:
                 return 0
-        return min((e for n, e in self.sets[state] if e <= self.ends.get(n, -1)), default=None)
+            if not self.sets[state]:
+                return None
+        return self.accepted[state]
 
     def strength(self, word: str) -> float:
         """1 for a term, 0.7 and 0.5 for one and two edits, else 0; leading symbols count as letters or not at all."""
@@ -268,12 +308,13 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.05, s
     return [float(b) for b in beta]
 
 
+@beside(("text",), ("score", "predicted", "n_terms"))
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """Adds score (0 to 1), predicted (1 if score >= 0.5) and n_terms to every row; columns so named are replaced.
 
-    Null and empty texts have no terms and get the score of such a text. Without a model the score is 0.
+    Null and empty texts have no terms and get the score of such a text. Without a model the score is 0. Equal texts, and so
+    repeated rows, get equal scores; a score of exactly 0.5 counts as toxic; an empty table gives no rows.
     """
-    docs = docs.select(*[c for c in docs.columns if c not in ("score", "predicted", "n_terms")])
     if model is None:
         return docs.select("*", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0).alias("n_terms"))
     shared, columns = docs.sparkSession.sparkContext.broadcast(model), docs.columns
