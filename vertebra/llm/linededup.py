@@ -21,6 +21,8 @@ BLOCK_LINES = 1 << 17
 #: stop at MANY, and sets of that size pass all filters that they could spoil.
 ROW = {"token": "<u4", "sig": "<u8", "bits": "<u8", "n": "<u2", "at": "<u2"}
 MANY = 2**16 - 1
+#: Lists of removed lines up to this length are looked up line by line.
+FEW_REMOVED = 64
 #: Bytes of a word's hash in sets that are verified.
 WORD_BYTES = 6
 
@@ -277,7 +279,7 @@ def candidates(rows: DataFrame, counts: np.ndarray, p: int, q: int, parts: int)
             new = np.sort(new[lines.n[new] * (q - p) >= p])
             if len(new):
                 held.append(prefixes(lines, new, shared.value, p, q))
-            if sum(len(h["n"]) for h in held) > 500_000:
+            if sum(len(h["n"]) for h in held) > 200_000:
                 yield blocks()
                 held.clear()
         if held:
@@ -385,11 +387,11 @@ def linked(members: DataFrame, sizes: DataFrame, p: int, q: int, parts: int, few
 
 
 def remaining(text: pd.Series, removed: pd.Series) -> pd.Series:
-    """The text without the lines of these numbers."""
+    """The text without the lines of these numbers; null stays null."""
     out = []
     for t, r in zip(text, removed, strict=True):
         gone = set() if r is None else set(r.tolist())
-        out.append("\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone) if gone else t)
+        out.append(None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone))
     return pd.Series(out, dtype=object)
 
 
@@ -441,7 +443,9 @@ def dedup(docs: DataFrame, least: float = 0.8, with_text: bool = False, with_lin
     same = docs.where("not __open").withColumn("n_removed", F.lit(0).cast("long")).withColumn("kept_text", text)
     cut = docs.where("__open").join(losing.select("__id", "__row", "__removed"), ["__id", "__row"], "left")
     gone = F.size("__removed")
-    rest = F.pandas_udf(remaining, "string")(text, F.col("__removed"))
+    few = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("__removed", i)), "\n")
+    many = F.when(gone > FEW_REMOVED, text)  # a look-up in a short list costs nothing; only texts with long ones go to Python
+    rest = F.when(gone <= FEW_REMOVED, few).otherwise(F.pandas_udf(remaining, "string")(many, F.when(gone > FEW_REMOVED, F.col("__removed"))))
     cut = cut.withColumn("n_removed", F.coalesce(F.when(gone > 0, gone), F.lit(0)).cast("long")).withColumn("kept_text", F.when(gone > 0, rest).otherwise(text))
     out = same.unionByName(cut.select(*same.columns)).drop("__open").withColumn("kept_sha256", F.sha2("kept_text", 256))
     if not with_text:
