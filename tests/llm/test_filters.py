@@ -199,3 +199,13 @@ def test_pieces_lose_no_word(spark):
         w = "".join(w)
         if w:
             assert quick.edits(w) == plain.edits(w)
+
+
+def test_any_column_names(spark):
+    """Columns named like an operator's own or hidden ones neither stop it nor get lost."""
+    from vertebra.llm import quality, secrets, substring
+
+    df = spark.createDataFrame([(1, "a b c token=abcdef123", "k", "w", "n")], "doc_id long, text string, __key string, __words string, N_Words string")
+    for f, kept in ((quality.judged, False), (substring.parse, False), (secrets.scan, True)):
+        r = f(df).first().asDict()
+        assert r["__key"] == "k" and r["__words"] == "w" and ("N_Words" in r) == kept

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vertebra.llm.common import WORD, WORD_GAPS
+from vertebra.llm.common import WORD, WORD_GAPS, beside
 
 # Frequent words of the four languages, in natural order.
 STOP_WORDS = {
@@ -78,6 +78,7 @@ def failures(rules: list[tuple] = RULES) -> dict[str, Column]:
     return out
 
 
+@beside(("doc_id", "text"), ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_ellipsis", "failed", "base_failed", "kept"))
 def judged(docs: DataFrame, rules: list[tuple] = RULES) -> DataFrame:
     """Adds the measures, failed (names of the failed rules), base_failed and kept to every row.
 

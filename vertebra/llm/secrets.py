@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vertebra.llm.common import beside
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -133,6 +135,7 @@ def matches(text: Column, rule: Rule, rank: int) -> Column:
     return F.aggregate(zipped, empty, step, lambda state: state["spans"])
 
 
+@beside(("doc_id", "text"), ("spans",))
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Adds spans, an array of (start, rank, end, kind) by start and then by the rules' order, to every row.
 

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertebra.llm.common import WORD, Bloom, Words, buffers, grams, saved, slices
+from vertebra.llm.common import WORD, Bloom, Words, beside, buffers, grams, saved, slices
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -55,6 +55,7 @@ def factors(found: np.ndarray, window: int) -> list[tuple[int, int]]:
     return [(int(p[0]), int(p[-1]) + window) for p in np.split(found, cut)]
 
 
+@beside(("doc_id", "text"), ("n_words", "n_removed", "kept_sha256", "spans", "kept_text"))
 def parse(docs: DataFrame, window: int = 35, run: int = 8, with_text: bool = False) -> DataFrame:
     """Adds n_words, n_removed, kept_sha256, spans (array of [start, end) in words) and, if asked, kept_text to each row.
 
