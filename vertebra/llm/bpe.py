@@ -143,6 +143,10 @@ class Tokenizer:
         self._plain(text[at:] if at else text, ids)
         return np.array(ids, dtype="<u4")
 
+    def forget(self) -> None:
+        """Drops what has been remembered of texts; the vocabulary's tables stay."""
+        self.pieces, self.fits = {}, {}
+
     def decode(self, ids: np.ndarray) -> str:
         start, size = self.offsets[ids], self.offsets[ids.astype(np.int64) + 1] - self.offsets[ids]
         ends = np.cumsum(size)
@@ -175,16 +179,19 @@ def encode(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
 
     def run(batches):
         t, at = tokenizer(path), columns.index("text")
-        for part in slices(batches, at, 1 << 20):
-            n, sha, back, ids = [], [], [], []
-            for x in part.column(at).to_pylist():
-                got = t.encode(x or "")
-                n.append(len(got))
-                sha.append(hashlib.sha256(got.tobytes()).hexdigest())
-                back.append(hashlib.sha256(t.decode(got).encode()).hexdigest())
-                if with_ids:
-                    ids.append(got.astype(np.int32))
-            arrays = [pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())] + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else [])
-            yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names=[*columns, *ours])
+        try:
+            for part in slices(batches, at, 1 << 20):
+                n, sha, back, ids = [], [], [], []
+                for x in part.column(at).to_pylist():
+                    got = t.encode(x or "")
+                    n.append(len(got))
+                    sha.append(hashlib.sha256(got.tobytes()).hexdigest())
+                    back.append(hashlib.sha256(t.decode(got).encode()).hexdigest())
+                    if with_ids:
+                        ids.append(got.astype(np.int32))
+                arrays = [pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())] + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else [])
+                yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names=[*columns, *ours])
+        finally:
+            t.forget()  # workers outlive their tasks, and later stages need the memory
 
     return docs.mapInArrow(run, schema)
