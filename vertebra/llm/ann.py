@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vertebra.llm.common import few_or_plain
+from vertebra.llm.common import few_or_plain, lean
 
 
 @dataclass
@@ -159,7 +159,7 @@ def search(vectors: DataFrame, column: str = "embedding", every: int = 50, k: in
                 yield pa.record_batch([pa.array(leaf), pa.array(n)], names=["leaf", "n"])
 
     held = np.zeros(tree.leaves, dtype=np.int64)
-    for r in rows.select("v").mapInArrow(count, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect():
+    for r in rows.select("v").mapInArrow(lean(count), "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect():
         held[r.leaf] = r.n
     shared = spark.sparkContext.broadcast((tree, calibrate(tree, sample, k, recall), held))
     packed = "leaf long, vec_id long, v binary"
@@ -188,11 +188,11 @@ def search(vectors: DataFrame, column: str = "embedding", every: int = 50, k: in
         dealt = df.join(few_or_plain(sizes, most_leaves), "leaf").withColumn("part", part)
         return dealt.groupBy("leaf", "part").agg(F.collect_list(F.struct("vec_id", "v")).alias("rows"))
 
-    indexed = blocks(rows.mapInArrow(index, packed))
+    indexed = blocks(rows.mapInArrow(lean(index), packed))
     queries = rows.where(F.col("vec_id") % every == 0)
     own = queries.groupBy("vec_id").agg(F.count(F.lit(1)).alias("own")).where("own > 1")
     queries = queries.dropDuplicates(["vec_id", "v"]).join(own, "vec_id", "left").select("vec_id", "v", F.coalesce("own", F.lit(1)).alias("own"))
-    asked = blocks(queries.mapInArrow(visits, packed))
+    asked = blocks(queries.mapInArrow(lean(visits), packed))
     pairs = indexed.select("leaf", F.col("rows").alias("c")).join(asked.select("leaf", F.col("rows").alias("q")), "leaf")
 
     def compare(frames):

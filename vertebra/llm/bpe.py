@@ -11,7 +11,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from vertebra.llm.common import slices, with_fields
+from vertebra.llm.common import lean, slices, with_fields
 
 # Fixed value: the pre-tokenizer's pattern, with white space as the tokenizer's regex engine knows it.
 _SPACE = r"\t-\r\x20\x85\xa0  -     　"
@@ -194,4 +194,4 @@ def encode(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
         finally:
             t.forget()  # workers outlive their tasks, and later stages need the memory
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)

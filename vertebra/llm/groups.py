@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertebra.llm.common import saved
+from vertebra.llm.common import lean, saved
 
 #: Rows and bytes of a block, about; and rows that tasks take together when places are small.
 BLOCK_ROWS, BLOCK_BYTES, BATCH_ROWS = 1024, 8 << 20, 2048
@@ -153,4 +153,4 @@ def handled(items: DataFrame, sizes: DataFrame, work: Callable[[pa.Table, np.nda
             if len(r):
                 yield r
 
-    return together(items, sizes, parts).mapInArrow(run, schema)
+    return together(items, sizes, parts).mapInArrow(lean(run), schema)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertebra.llm.common import beside, buffers, learnable, slices, with_fields
+from vertebra.llm.common import beside, buffers, lean, learnable, slices, with_fields
 
 
 @dataclass
@@ -90,7 +90,7 @@ def fit(docs: DataFrame, order: int = 3, rows_per_lang: int = 400, most_chars: i
                 grams, n = np.unique(codes[mine], return_counts=True)
                 yield pa.record_batch([pa.array([lang] * len(grams)), pa.array(grams.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
-    counted = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    counted = sample.mapInArrow(lean(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(counted["lang"].to_pylist()))
     if not names:
         return None
@@ -144,4 +144,4 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             names = [model.langs[b] if y else "und" for b, y in zip(best, ok, strict=True)]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score)], names=[*columns, "__letter", "lang_pred", "score"])
 
-    return docs.withColumn("__letter", has_letter).mapInArrow(run, schema).drop("__letter")
+    return docs.withColumn("__letter", has_letter).mapInArrow(lean(run), schema).drop("__letter")

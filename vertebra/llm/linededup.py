@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertebra.llm.common import WORD, Bloom, Words, beside, buffers, mixed, saved, slices
+from vertebra.llm.common import WORD, Bloom, Words, beside, buffers, lean, mixed, saved, slices
 from vertebra.llm.groups import components, handled, here, in_common, merged, pairs_of
 
 #: Words are counted in 2**21 hash buckets, in chunks of 2**16: the table of counts is 8 MB for any corpus.
@@ -106,7 +106,7 @@ def surveyed(rows: DataFrame) -> DataFrame:
             if len(at):
                 yield record([None] * 4 + [pa.array([c], pa.int32()), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([own[at].astype("<i8").tobytes()], pa.binary())], 1)
 
-    return saved(rows.select("text", "id", "row").mapInArrow(run, schema))
+    return saved(rows.select("text", "id", "row").mapInArrow(lean(run), schema))
 
 
 def word_counts(survey: DataFrame) -> np.ndarray:
@@ -121,7 +121,7 @@ def word_counts(survey: DataFrame) -> np.ndarray:
             yield pa.record_batch([pa.array([c], pa.int32()), pa.array([np.minimum(s, 2**31 - 1).astype("<i4").tobytes()], pa.binary())], names=["chunk", "n"])
 
     own = survey.where("chunk is not null").select("chunk", "at", "n")
-    parts = own.repartition(1 << (BUCKET_BITS - CHUNK_BITS), "chunk").mapInArrow(add, "chunk int, n binary").collect()
+    parts = own.repartition(1 << (BUCKET_BITS - CHUNK_BITS), "chunk").mapInArrow(lean(add), "chunk int, n binary").collect()
     out = np.zeros(1 << BUCKET_BITS, dtype=np.int32)
     for r in parts:
         out[r.chunk << CHUNK_BITS : (r.chunk + 1) << CHUNK_BITS] = np.frombuffer(r.n, "<i4")
@@ -294,8 +294,8 @@ def candidates(rows: DataFrame, counts: np.ndarray, p: int, q: int, parts: int)
             a, b, n = grouped({c: np.concatenate(x) for c, x in held.items()}, p, q)
             yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(n)], names=["sig", "group", "n"])
 
-    blocks = rows.select("text").mapInArrow(emit, "part int, " + ", ".join(f"{c} binary" for c in ROW)).repartition(parts, "part")
-    return saved(blocks.mapInArrow(meet, "sig long, group long, n long").distinct())
+    blocks = rows.select("text").mapInArrow(lean(emit), "part int, " + ", ".join(f"{c} binary" for c in ROW)).repartition(parts, "part")
+    return saved(blocks.mapInArrow(lean(meet), "sig long, group long, n long").distinct())
 
 
 def fewer(led: DataFrame) -> DataFrame:
@@ -324,7 +324,7 @@ def tokens_of(rows: DataFrame, wanted: Bloom, held: Bloom) -> DataFrame:
                 raw = [words[lines.first[i] : lines.first[i + 1]].tobytes() for i in at.tolist()]
                 yield pa.record_batch([pa.array(lines.sig[at].view(np.int64)), pa.array(raw, pa.binary())], names=["sig", "tokens"])
 
-    return rows.select("text", "row").mapInArrow(run, "sig long, tokens binary")
+    return rows.select("text", "row").mapInArrow(lean(run), "sig long, tokens binary")
 
 
 def overlaps(first: np.ndarray, words: np.ndarray, step: int = 4096) -> np.ndarray:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertebra.llm.common import WORD, Bloom, Words, buffers, grams, mixed, saved, slices
+from vertebra.llm.common import WORD, Bloom, Words, buffers, grams, lean, mixed, saved, slices
 from vertebra.llm.groups import components, handled, here
 
 #: Longs of a text's parity bits.
@@ -207,7 +207,7 @@ def grouped(docs: DataFrame, k: int = 5, least: float = 0.8, m: int = 24, l: int
             size = pa.array(np.diff(words.offsets), pa.int64())
             yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(out, pa.list_(pa.int64())), *less, pa.array(sizes, pa.int32()), size], names=["key", "doc_id", "sketch", "short", "gone", "n", "size"])
 
-    made = rows.where("key is not null").select("text", "key", F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(sketch, "key binary, doc_id long, sketch array<long>, short array<long>, gone array<int>, n int, size long")
+    made = rows.where("key is not null").select("text", "key", F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(lean(sketch), "key binary, doc_id long, sketch array<long>, short array<long>, gone array<int>, n int, size long")
     firsts = [F.first(c).alias(c) for c in ("sketch", "short", "gone", "n", "size")]
     texts = saved(made.groupBy("key").agg(F.min("doc_id").alias("first_id"), *firsts))
     listed = texts.select("key", F.posexplode("sketch").alias("r", "h")).select("key", F.xxhash64("r", "h").alias("list"))

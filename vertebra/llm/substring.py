@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertebra.llm.common import WORD, Bloom, Words, beside, buffers, grams, saved, slices
+from vertebra.llm.common import WORD, Bloom, Words, beside, buffers, grams, lean, saved, slices
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -89,9 +89,9 @@ def parse(docs: DataFrame, window: int = 35, run: int = 8, with_text: bool = Fal
             yield pa.record_batch([pa.array(runs[chosen].view(np.int64)), pa.array(ids), pa.array((at[chosen] - words.first[text]).astype(np.int32))], names=["anchor", "id", "at"])
 
     schema = "anchor long, id long, at int"
-    twice = saved(texts.mapInArrow(find_anchors, schema).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
+    twice = saved(texts.mapInArrow(lean(find_anchors), schema).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
     likely = docs.sparkSession.sparkContext.broadcast(Bloom(twice))
-    anchored = texts.mapInArrow(lambda batches: find_anchors(batches, likely), schema)
+    anchored = texts.mapInArrow(lean(lambda batches: find_anchors(batches, likely)), schema)
     open_ = anchored.join(twice, "anchor").groupBy("id").agg(F.collect_list("at").alias("at"))
 
     def find_windows(batches):
@@ -112,7 +112,7 @@ def parse(docs: DataFrame, window: int = 35, run: int = 8, with_text: bool = Fal
             yield pa.record_batch([pa.array(one[ok].view(np.int64)), pa.array((two[ok] >> np.uint64(48)).astype(np.int32)), pa.array(ids), pa.array(rel[ok].astype(np.int32))], names=["w1", "w2", "id", "at"])
 
     by_id = texts.select("id", "key").join(open_, "id").select("key", F.col("at").alias("spots"))
-    windows = texts.join(by_id, "key").select("text", "id", "spots", "copies").mapInArrow(find_windows, "w1 long, w2 int, id long, at int")
+    windows = texts.join(by_id, "key").select("text", "id", "spots", "copies").mapInArrow(lean(find_windows), "w1 long, w2 int, id long, at int")
     again = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
     repeated = windows.join(again, ["w1", "w2"]).groupBy("id").agg(F.sort_array(F.collect_list("at")).alias("found"), F.bit_xor("w1").alias("proof"))
     found = texts.select("id", "key").join(repeated, "id").select("key", "found", "proof")
@@ -149,7 +149,7 @@ def parse(docs: DataFrame, window: int = 35, run: int = 8, with_text: bool = Fal
             arrays = [part.column(1), pa.array(n_words.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(spans, pa.list_(pa.list_(pa.int32())))]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(texts, pa.string())] * with_text, names=["__key", *ours[: 4 + with_text]])
 
-    done = results.mapInArrow(finish, "__key binary, n_words long, n_removed long, kept_sha256 string, spans array<array<int>>" + ", kept_text string" * with_text)
+    done = results.mapInArrow(lean(finish), "__key binary, n_words long, n_removed long, kept_sha256 string, spans array<array<int>>" + ", kept_text string" * with_text)
     out = docs.withColumn("__key", key).join(done, "__key", "left").drop("__key")
     empty = hashlib.sha256(b"").hexdigest()
     none = {"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "kept_sha256": F.lit(empty), "spans": F.array().cast("array<array<int>>")}

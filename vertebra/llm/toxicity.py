@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertebra.llm.common import beside, few_or_plain, learnable, saved, slices, with_fields
+from vertebra.llm.common import beside, few_or_plain, lean, learnable, saved, slices, with_fields
 
 # A word may start with symbols that stand for letters; their run is read once, so that long rows of them cost no more.
 LEADS = "@$*!"
@@ -232,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 4096, most_byt
     if len(n) < 2:
         return None
     weigh = {y: sizes[y] / n[y] for y in n}
-    counted = sample.mapInArrow(terms, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counted = sample.mapInArrow(lean(terms), "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     pure = weigh[1] * F.col("bad") / (weigh[1] * F.col("bad") + weigh[0] * F.col("good"))
     prior = n[1] / (n[0] + n[1])
     share = F.col("bad") / (F.col("bad") + F.col("good"))
@@ -252,7 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 4096, most_byt
                 c.update({(w, y) for w, s, _ in hits_of(text, trie, set())[1] if s < 1})
             yield pa.record_batch([pa.array([w for w, _ in c], pa.string()), pa.array([n if y else 0 for (_, y), n in c.items()], pa.int64()), pa.array([0 if y else n for (_, y), n in c.items()], pa.int64())], names=["word", "bad", "good"])
 
-    forms = sample.mapInArrow(fuzzy, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    forms = sample.mapInArrow(lean(fuzzy), "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     model.exceptions = {r.word for r in forms.where((pure < purity) & (F.col("good") > 0)).orderBy(F.desc("good"), "word").limit(20 * most_terms).collect()}
     shared = spark.sparkContext.broadcast(model)
 
@@ -263,7 +263,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 4096, most_byt
             rows = [features(t, trie, m.exceptions) for t in part.column(1).to_pylist()]
             yield pa.record_batch([part.column(0), *[pa.array([r[i] for r in rows], pa.float64()) for i in range(4)]], names=["toxic", "f0", "f1", "f2", "f3"])
 
-    table = sample.mapInArrow(measure, "toxic int, f0 double, f1 double, f2 double, f3 double").toArrow()
+    table = sample.mapInArrow(lean(measure), "toxic int, f0 double, f1 double, f2 double, f3 double").toArrow()
     x = np.column_stack([table[f"f{i}"].to_numpy() for i in range(4)])
     y = table["toxic"].to_numpy()
     order = np.lexsort((*x.T, y))
@@ -329,4 +329,4 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             terms = [int(np.ceil(np.expm1(r[1]) + np.expm1(r[2]) - 1e-9)) for r in x]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(terms, pa.int32())], names=[*columns, "score", "predicted", "n_terms"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
