@@ -17,9 +17,11 @@ from vertebra.llm.groups import components, handled, here, in_common, merged, pa
 BUCKET_BITS, CHUNK_BITS = 21, 16
 #: A word in more lines than this is dealt to blocks of about so many.
 BLOCK_LINES = 1 << 17
-#: Columns of prefix rows as they are sent. token is 32 bits of a word's hash, so that few words may meet as one; n and at
+#: Columns of a set's parities, 64 words' bits each; a power of two of them. In 64 bits alone, lines of over 100 words can't be told apart.
+#: ROW: columns of prefix rows as they are sent. token is 32 bits of a word's hash, so that few words may meet as one; n and at
 #: stop at MANY, and sets of that size pass all filters that they could spoil.
-ROW = {"token": "<u4", "sig": "<u8", "bits": "<u8", "n": "<u2", "at": "<u2"}
+BITS = ["bits0", "bits1"]
+ROW = {"token": "<u4", "sig": "<u8", **dict.fromkeys(BITS, "<u8"), "n": "<u2", "at": "<u2"}
 MANY = 2**16 - 1
 #: Lists of removed lines up to this length are looked up line by line.
 FEW_REMOVED = 64
@@ -149,8 +151,8 @@ def dealt(token: np.ndarray, sig: np.ndarray, often: np.ndarray, lines: int) ->
 def prefixes(lines: Lines, which: np.ndarray, counts: np.ndarray, p: int, q: int, block_lines: int = BLOCK_LINES) -> dict[str, np.ndarray]:
     """Prefix rows of the chosen lines: words by rarity (of the bucket count, then hash), the first n - ceil(n p / q) + 1.
 
-    Words found once in all texts keep their place but are left out, since no other line has them. bits has a bit
-    flipped for each word, so that two sets differ in at least as many words as their bits do.
+    Words found once in all texts keep their place but are left out, since no other line has them. Each word flips one of
+    the bits, 64 to a column of BITS, so that two sets differ in at least as many words as their bits do.
     """
     chosen = np.zeros(len(lines.n), dtype=bool)
     chosen[which] = True
@@ -163,14 +165,18 @@ def prefixes(lines: Lines, which: np.ndarray, counts: np.ndarray, p: int, q: int
     begin = np.searchsorted(line, line)
     at = np.arange(len(line)) - begin
     flips = np.left_shift(np.uint64(1), tokens >> np.uint64(13) & np.uint64(63))
+    column = tokens >> np.uint64(19) & np.uint64(len(BITS) - 1)
     heads = np.flatnonzero(at == 0)
-    bits = np.bitwise_xor.reduceat(flips, heads) if len(heads) else flips
     use = (at < n - -(-n * p // q) + 1) & (often > 1)
-    bits = np.repeat(bits, np.diff(np.append(heads, len(line))))[use]
+    bits = {}
+    for k, c in enumerate(BITS):
+        own = np.where(column == k, flips, np.uint64(0))
+        of_line = np.bitwise_xor.reduceat(own, heads) if len(heads) else own
+        bits[c] = np.repeat(of_line, np.diff(np.append(heads, len(line))))[use]
     sig = lines.sig[line[use]]
     row, token = dealt(tokens[use], sig, often[use], block_lines)
     few = lambda x: np.minimum(x[use][row], MANY).astype("<u2")
-    return {"token": (token >> np.uint64(32)).astype("<u4"), "sig": sig[row], "bits": bits[row], "n": few(n), "at": few(at)}
+    return {"token": (token >> np.uint64(32)).astype("<u4"), "sig": sig[row], **{c: b[row] for c, b in bits.items()}, "n": few(n), "at": few(at)}
 
 
 def grouped(rows: dict[str, np.ndarray], p: int, q: int, most: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -186,7 +192,7 @@ def grouped(rows: dict[str, np.ndarray], p: int, q: int, most: int = 1 << 19) ->
     new = np.ones(len(order), dtype=bool)
     new[1:] = (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])
     order, token, sig = order[new], token[new], sig[new]
-    n, place, bits = rows["n"][order].astype(np.int64), rows["at"][order].astype(np.int64), rows["bits"][order]
+    n, place, bits = rows["n"][order].astype(np.int64), rows["at"][order].astype(np.int64), [rows[c][order] for c in BITS]
     sets, own = np.unique(sig, return_inverse=True)
     label = np.arange(len(sets))
     if not len(sets):
@@ -196,7 +202,8 @@ def grouped(rows: dict[str, np.ndarray], p: int, q: int, most: int = 1 << 19) ->
         apart = label[own[i]] != label[own[j]]
         i, j = i[apart], j[apart]
         need = -(-(n[i] + n[j]) * p // (p + q))
-        ok = (np.minimum(n[i] - place[i], n[j] - place[j]) >= need) & (np.bitwise_count(bits[i] ^ bits[j]) <= n[i] + n[j] - 2 * need)
+        differ = sum(np.bitwise_count(b[i] ^ b[j]).astype(np.int64) for b in bits)
+        ok = (np.minimum(n[i] - place[i], n[j] - place[j]) >= need) & (differ <= n[i] + n[j] - 2 * need)
         ok |= (n[i] == MANY) | (n[j] == MANY)
         merged(label, own[i[ok]], own[j[ok]])
 
