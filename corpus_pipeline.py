@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import vertebra
 from vertebra.llm import bpe, linededup, mixing, ordermh, toxicity
-from vertebra.llm.common import WORD, saved
+from vertebra.llm.common import saved
 from vertebra.llm.queries import vocabulary
 
 
@@ -23,9 +23,12 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines like an earlier one go; a document left without a word goes with its last line. n_chars follows the text."""
+    """Lines like an earlier one go; a document left without a word goes with its last line. n_chars follows the text.
+
+    That is asked by counts, not of kept_text: a filter on it would cut the texts twice in each task, in two Python workers.
+    """
     vertebra.ship(spark)
-    out = linededup.dedup(docs, with_text=True, with_links=False).where((F.col("n_removed") == 0) | F.col("kept_text").rlike(WORD))
+    out = linededup.dedup(docs, with_text=True, with_links=False).where("n_removed = 0 or n_removed < n_lines")
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     out = out.withColumn("text", text)
     if "n_chars" in docs.columns:
@@ -48,7 +51,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row, and the digests of ids and of what they decode to."""
     vertebra.ship(spark)
-    return bpe.encode(docs, vocabulary()).select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+    return bpe.encode(docs, vocabulary(), with_text=False).select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [("toxicity", toxicity_stage), ("line_dedup", line_dedup_stage), ("near_dedup", near_dedup_stage), ("mixing", mixing_stage), ("encoding", encoding_stage)]

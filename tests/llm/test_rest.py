@@ -223,3 +223,12 @@ def test_repeated_queries(spark):
     rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [1.0, 0.0]), (1, [1.0, 0.1]), (1, [1.0, 0.1]), (2, [0.3, 1.0]), (3, [1.0, 0.5]), (4, [1.0, 1.0])]
     got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
     assert [(r.query_id, r["rank"], r.vec_id) for r in got] == [(50, 1, 1), (50, 2, 1), (50, 3, 2), (50, 4, 3), (50, 5, 4)]
+
+
+def test_line_dedup_stage_cuts_texts_once(spark):
+    """One Python worker per task cuts texts; documents go exactly when no word is left."""
+    rows = [(1, "one two three four five\nsix"), (2, "one two three four five\n\n \nsix"), (3, "one two three four five\nseven"), (4, " \n"), (5, None)]
+    out = corpus_pipeline.line_dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [remaining") == 1
+    assert sorted(map(tuple, out.collect())) == [(1, rows[0][1]), (3, "seven"), (4, " \n"), (5, None)]

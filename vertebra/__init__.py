@@ -15,10 +15,10 @@ _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 def ship(spark: SparkSession) -> SparkSession:
     """Sends this package's source to the executors, once per Spark application.
 
-    Texts may be long, so Arrow batches are bounded to 4 MB in sessions that leave that setting at its default of 64 MB.
+    Texts may be long, so Arrow batches are bounded to 1 MB in sessions that leave that setting at its default of 64 MB.
     """
     if spark.conf.get(_BATCH_BYTES, None) == "67108864b":
-        spark.conf.set(_BATCH_BYTES, "4m")
+        spark.conf.set(_BATCH_BYTES, "1m")
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         here = Path(__file__).resolve().parent

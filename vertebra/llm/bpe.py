@@ -165,17 +165,18 @@ def tokenizer(path: str) -> Tokenizer:
     return _loaded[path]
 
 
-def encode(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str, with_ids: bool = True, with_text: bool = True) -> DataFrame:
     """Adds ids (array of int), n_tokens, ids_sha256 and decoded_sha256 to every row; columns so named are replaced.
 
     path: a tokenizer.json with a byte-level BPE vocabulary, at the same place on every executor. A null text counts as
     empty: no ids. Added tokens' strings in a text become those tokens. Whole texts are encoded, whatever their length.
-    with_ids False leaves the ids out.
+    with_ids False leaves the ids out, with_text False the text, which then isn't sent back from Python.
     """
     ours = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
     docs = docs.select(*[c for c in docs.columns if c not in (*ours, "ids")])
     columns = docs.columns
-    schema = with_fields(docs, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    back_too = [c for c in columns if with_text or c != "text"]
+    schema = with_fields(docs.select(*back_too), "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
     def run(batches):
         t, at = tokenizer(path), columns.index("text")
@@ -190,7 +191,7 @@ def encode(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
                     if with_ids:
                         ids.append(got.astype(np.int32))
                 arrays = [pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())] + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else [])
-                yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names=[*columns, *ours])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in back_too), *arrays], names=[*back_too, *ours])
         finally:
             t.forget()  # workers outlive their tasks, and later stages need the memory
 

@@ -179,30 +179,34 @@ def prefixes(lines: Lines, which: np.ndarray, counts: np.ndarray, p: int, q: int
     return {"token": (token >> np.uint64(32)).astype("<u4"), "sig": sig[row], **{c: b[row] for c, b in bits.items()}, "n": few(n), "at": few(at)}
 
 
-def grouped(rows: dict[str, np.ndarray], p: int, q: int, most: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def grouped(rows: dict[str, np.ndarray], p: int, q: int, most: int = 1 << 17) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sig, root, n): the sets among prefix rows that have a candidate there, the smallest set hash they lead to, and sizes.
 
     Rows are sorted by word and size. A row within its index prefix meets the larger rows of its word up to q / p times
     its size (length filter); what may still match after both positions must suffice (positional filter), and the bits
     may not differ more than the sets could. Candidates are joined at once and never listed: near neighbours in the order
     are tried first, and of a word's rows only those outside its commonest group then meet the others.
+
+    A task's memory is mostly this: columns are taken out of rows as they are sorted, and kept in 32 bits where they fit.
     """
-    order = np.lexsort((rows["sig"], rows["n"], rows["token"]))
-    token, sig = rows["token"][order], rows["sig"][order]
+    order = np.lexsort((rows["sig"], rows["n"], rows["token"])).astype(np.int32 if len(rows["n"]) < 2**31 else np.int64)
+    token, sig = rows.pop("token")[order], rows.pop("sig")[order]
     new = np.ones(len(order), dtype=bool)
     new[1:] = (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])
     order, token, sig = order[new], token[new], sig[new]
-    n, place, bits = rows["n"][order].astype(np.int64), rows["at"][order].astype(np.int64), [rows[c][order] for c in BITS]
+    n, place, bits = rows.pop("n")[order].astype(np.int32), rows.pop("at")[order].astype(np.int32), [rows.pop(c)[order] for c in BITS]
     sets, own = np.unique(sig, return_inverse=True)
-    label = np.arange(len(sets))
+    own = own.astype(order.dtype)
+    label = np.arange(len(sets), dtype=order.dtype)
+    del order, sig, new
     if not len(sets):
         return sets, sets, n
 
     def meet(i: np.ndarray, j: np.ndarray) -> None:
         apart = label[own[i]] != label[own[j]]
         i, j = i[apart], j[apart]
-        need = -(-(n[i] + n[j]) * p // (p + q))
-        differ = sum(np.bitwise_count(b[i] ^ b[j]).astype(np.int64) for b in bits)
+        need = -(-(n[i] + n[j]).astype(np.int64) * p // (p + q))
+        differ = sum(np.bitwise_count(b[i] ^ b[j]).astype(np.int16) for b in bits)
         ok = (np.minimum(n[i] - place[i], n[j] - place[j]) >= need) & (differ <= n[i] + n[j] - 2 * need)
         ok |= (n[i] == MANY) | (n[j] == MANY)
         merged(label, own[i[ok]], own[j[ok]])
@@ -211,24 +215,27 @@ def grouped(rows: dict[str, np.ndarray], p: int, q: int, most: int = 1 << 19) ->
         k = np.arange(d, len(token))
         k = k[token[k] == token[k - d]]
         meet(k - d, k)
-    group = np.cumsum(np.concatenate([[0], token[1:] != token[:-1]]))
+    group = np.cumsum(np.concatenate([[0], token[1:] != token[:-1]]), dtype=label.dtype)
     now = label[own]
     by = np.lexsort((now, group))
     cut = np.concatenate([[0], np.flatnonzero((np.diff(group[by]) != 0) | (np.diff(now[by]) != 0)) + 1])
     sizes = np.diff(np.append(cut, len(by)))
     largest = cut[np.lexsort((-sizes, group[by[cut]]))]
-    commonest = np.empty(group[-1] + 1, dtype=np.int64)
+    commonest = np.empty(group[-1] + 1, dtype=label.dtype)
     heads = np.unique(group[by[largest]], return_index=True)[1]
     commonest[group[by[largest[heads]]]] = now[by[largest[heads]]]
     outside = now != commonest[group]
-    index = (place < n - -(-2 * n * p // (p + q)) + 1) | (n == MANY)
+    del now, by, cut, sizes, largest, commonest, heads
+    long = n.astype(np.int64)
+    index = (place < long - -(-2 * long * p // (p + q)) + 1) | (n == MANY)
     wide = int(n.max(initial=1)) * q // p + 2
-    code = group * wide + n
+    code = group.astype(np.int64) * wide + n
+    del long
 
     def sweep(left: np.ndarray, right: np.ndarray) -> None:
         """Rows left meet those of right that stand after them, a bounded number of tries at a time."""
         begin = np.searchsorted(right, left, side="right")
-        many = np.searchsorted(code[right], group[left] * wide + n[left] * q // p, side="right") - begin
+        many = np.searchsorted(code[right], group[left].astype(np.int64) * wide + n[left].astype(np.int64) * q // p, side="right") - begin
         left, begin, many = left[many > 0], begin[many > 0], many[many > 0]
         for at in range(0, int(many.max(initial=0)), most):  # a row with more partners than `most` takes several turns
             few = np.minimum(many - at, most)
@@ -297,8 +304,9 @@ def candidates(rows: DataFrame, counts: np.ndarray, p: int, q: int, parts: int)
         for b in batches:
             for c in ROW:
                 held[c] += [np.frombuffer(raw, ROW[c]) for raw in b.column(c).to_pylist()]
+        b = None
         if held["n"]:
-            a, b, n = grouped({c: np.concatenate(x) for c, x in held.items()}, p, q)
+            a, b, n = grouped({c: np.concatenate(held.pop(c)) for c in ROW}, p, q)
             yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(n)], names=["sig", "group", "n"])
 
     blocks = rows.select("text").mapInArrow(lean(emit), "part int, " + ", ".join(f"{c} binary" for c in ROW)).repartition(parts, "part")
