@@ -232,3 +232,34 @@ def test_line_dedup_stage_cuts_texts_once(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython [remaining") == 1
     assert sorted(map(tuple, out.collect())) == [(1, rows[0][1]), (3, "seven"), (4, " \n"), (5, None)]
+
+
+def test_bpe_memory_is_bounded(public):
+    """Each worker of an executor has a tokenizer, so its tables and what it remembers of texts are counted here in bytes."""
+    import tracemalloc
+
+    queries.vocabulary()
+    tracemalloc.start()
+    own = bpe.Tokenizer(queries.vocabulary())
+    tables = tracemalloc.get_traced_memory()[0]
+    rng = random.Random(8)
+    for i in range(400):
+        own.encode(" ".join("".join(rng.choices("abcdefghijklmnop", k=8)) for _ in range(1000)))
+    texts = tracemalloc.get_traced_memory()[0] - tables
+    own.forget()
+    left = tracemalloc.get_traced_memory()[0] - tables
+    tracemalloc.stop()
+    assert tables < 15e6 and texts < 35e6 and abs(left) < 1e6
+    again = " ".join("".join(rng.choices("abcdefghijklmnop", k=8)) for _ in range(1000))
+    ids = own.encode(again)
+    assert ids.tolist() == public.encode(again, add_special_tokens=False).ids and own.decode(ids, most=7) == own.decode(ids) == again
+
+
+def test_tasks_forget_powers():
+    from vertebra.llm import common
+
+    def run(batches):
+        for b in batches:
+            yield common.powers(b, 0)[0][1]
+
+    assert len(list(common.lean(run)([1 << 17]))) == 1 and not common._powers

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
+from struct import pack
 
 import ahocorasick
 import numpy as np
@@ -32,33 +34,40 @@ class Tokenizer:
     token that is compatible with the one before, takes the next shorter one if none is, and steps back when a place has
     none left; a place once left is not tried again. Two tokens are compatible if no merge crosses between them, which a
     table remembers. Decoding copies the ids' bytes by an offset table.
+
+    Every Python worker has one, so tables are arrays by token id where they can be, and what is remembered of pieces and
+    of pairs is bounded (most_pieces of each, results don't depend on it): when half of that is new, what wasn't met
+    since then goes.
     """
 
-    def __init__(self, path: str, most_pieces: int = 300_000):
+    def __init__(self, path: str, most_pieces: int = 160_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_letters()
-        self.letters = {b: x for b, x in enumerate(letters)}
+        back = {x: b for b, x in enumerate(letters)}
         vocab: dict[str, int] = spec["model"]["vocab"]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.added_pattern = regex.compile("|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
-        self.most_pieces, self.pieces, self.fits = most_pieces, {}, {}
-        self.merge_rank: dict[tuple[int, int], int] = {}
-        self.parts: dict[int, tuple[int, int, int]] = {}
+        self.half = max(1, most_pieces // 2)
+        self.forget()
+        size = self.size = max([*vocab.values(), *self.added.values()]) + 1
+        # by token: the merge that makes it (-1 for none) and its two parts, its length, the next shorter token it starts with
+        self.rank, self.left, self.right, self.length, self.shorter = (array("i", [-1]) * size for _ in range(5))
+        self.merge_rank: dict[int, int] = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            x, y = vocab[a], vocab[b]
-            self.merge_rank[x, y] = rank
-            self.parts.setdefault(vocab[a + b], (rank, x, y))
-        self.automaton = ahocorasick.Automaton()
-        usable = {t: i for t, i in vocab.items() if t not in self.added and (len(t) == 1 or i in self.parts)}
+            x, y, made = vocab[a], vocab[b], vocab[a + b]
+            self.merge_rank[x * size + y] = rank
+            if self.rank[made] < 0:
+                self.rank[made], self.left[made], self.right[made] = rank, x, y
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)  # a character stands for the byte of its number
+        usable = {t: i for t, i in vocab.items() if t not in self.added and (len(t) == 1 or self.rank[i] >= 0)}
         for t, i in usable.items():
-            self.automaton.add_word(t, (len(t), i))
+            self.automaton.add_word("".join(chr(back[x]) for x in t), i)
+            self.length[i] = len(t)
+            self.shorter[i] = next((usable[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in usable), -1)
         self.automaton.make_automaton()
-        self.length = {i: len(t) for t, i in usable.items()}
-        self.shorter = {i: next((usable[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in usable), -1) for t, i in usable.items()}
-        size = max([*vocab.values(), *self.added.values()]) + 1
-        back, raw = {x: b for b, x in enumerate(letters)}, [b""] * size
+        raw = [b""] * size
         for t, i in {**vocab, **self.added}.items():
             raw[i] = bytes(back[x] for x in t) if all(x in back for x in t) else t.encode()
         self.offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
@@ -70,89 +79,99 @@ class Tokenizer:
         Undoes the merges inside the two, latest first. Whenever the tokens that then meet could be merged before either
         is used up by its own next merge, they would be; of equal ranks the leftmost merge comes first.
         """
-        key = (a, b)
+        key = a * self.size + b
         known = self.fits.get(key)
-        if known is not None:
-            return known
-        none = 1 << 40
+        if known is None:
+            known = self.old_fits.get(key)
+            if known is None:
+                known = self._apart(a, b)
+            if len(self.fits) >= self.half:
+                self.old_fits, self.fits = self.fits, {}
+            self.fits[key] = known
+        return known
+
+    def _apart(self, a: int, b: int) -> bool:
+        size, none = self.size, 1 << 40
         used_a = used_b = none
         while True:
-            rank = self.merge_rank.get((a, b), none)
+            rank = self.merge_rank.get(a * size + b, none)
             if rank < used_a and rank <= used_b and rank != none:
-                good = False
-                break
-            pa_, pb_ = self.parts.get(a), self.parts.get(b)
-            if pa_ is None and pb_ is None:
-                good = True
-                break
-            if pb_ is None or (pa_ is not None and pa_[0] > pb_[0]):
-                used_a, a = pa_[0], pa_[2]
+                return False
+            made_a, made_b = self.rank[a], self.rank[b]
+            if made_a < 0 and made_b < 0:
+                return True
+            if made_a > made_b:
+                used_a, a = made_a, self.right[a]
             else:
-                used_b, b = pb_[0], pb_[1]
-        if len(self.fits) >= 4 * self.most_pieces:
-            self.fits.clear()
-        self.fits[key] = good
-        return good
-
-    def piece(self, text: str) -> tuple[int, ...]:
-        """Ids of one piece of text between the pre-tokenizer's cuts."""
-        letters = self.letters
-        s = "".join([letters[b] for b in text.encode()])
-        longest = [-1] * len(s)
-        for end, (n, token) in self.automaton.iter(s):
-            longest[end - n + 1] = token
-        out, open_, at = [], [True] * (len(s) + 1), 0
+                used_b, b = made_b, self.left[b]
+
+    def piece(self, text: str) -> bytes:
+        """Ids, as little-endian unsigned 32-bit integers, of one piece of text between the pre-tokenizer's cuts."""
+        s = text.encode().decode("latin-1")
+        size, length, compatible = len(s), self.length, self.compatible
+        longest = [-1] * size
+        for end, token in self.automaton.iter(s):
+            longest[end - length[token] + 1] = token
         token = longest[0]
-        while at < len(s):
+        if token >= 0 and length[token] == size:
+            return token.to_bytes(4, "little")
+        out, open_, at = [], [True] * (size + 1), 0
+        while at < size:
             while token >= 0:
-                to = at + self.length[token]
-                if open_[to] and (not out or self.compatible(out[-1], token)):
+                to = at + length[token]
+                if open_[to] and (not out or compatible(out[-1], token)):
                     break
                 token = self.shorter[token]
             if token >= 0:
                 out.append(token)
                 at = to
-                token = longest[at] if at < len(s) else -1
+                token = longest[at] if at < size else -1
             else:
                 open_[at] = False
                 last = out.pop()
-                at -= self.length[last]
+                at -= length[last]
                 token = self.shorter[last]
-        return tuple(out)
+        return pack(f"<{len(out)}I", *out)
 
-    def _plain(self, text: str, ids: list[int]) -> None:
-        known = self.pieces
+    def _plain(self, text: str, ids: list[bytes]) -> None:
+        known, old = self.pieces, self.old_pieces
         for p in PIECE.findall(text):
             got = known.get(p)
             if got is None:
-                got = self.piece(p)
+                got = old.get(p) or self.piece(p)
                 if len(p) <= 64:
-                    if len(known) >= self.most_pieces:
-                        known.clear()
+                    if len(known) >= self.half:
+                        old, known = self.old_pieces, self.pieces = known, {}
                     known[p] = got
-            ids += got
+            ids.append(got)
 
     def encode(self, text: str) -> np.ndarray:
-        ids: list[int] = []
+        ids: list[bytes] = []
         at = 0
         if self.added_pattern is not None:
             for m in self.added_pattern.finditer(text):
                 self._plain(text[at : m.start()], ids)
-                ids.append(self.added[m[0]])
+                ids.append(self.added[m[0]].to_bytes(4, "little"))
                 at = m.end()
         self._plain(text[at:] if at else text, ids)
-        return np.array(ids, dtype="<u4")
+        return np.frombuffer(b"".join(ids), dtype="<u4")
 
     def forget(self) -> None:
         """Drops what has been remembered of texts; the vocabulary's tables stay."""
-        self.pieces, self.fits = {}, {}
-
-    def decode(self, ids: np.ndarray) -> str:
-        start, size = self.offsets[ids], self.offsets[ids.astype(np.int64) + 1] - self.offsets[ids]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.arange(total) - np.repeat(ends - size, size) + np.repeat(start, size)
-        return self.bytes[at].tobytes().decode("utf-8", errors="replace")
+        self.pieces: dict[str, bytes] = {}
+        self.fits: dict[int, bool] = {}
+        self.old_pieces, self.old_fits = {}, {}
+
+    def decode(self, ids: np.ndarray, most: int = 1 << 14) -> str:
+        """most: ids that are copied at once."""
+        out = []
+        for i in range(0, len(ids), most):
+            part = ids[i : i + most].astype(np.int64)
+            start = self.offsets[part]
+            size = self.offsets[part + 1] - start
+            ends = np.cumsum(size)
+            out.append(self.bytes[np.arange(ends[-1]) + np.repeat(start - ends + size, size)].tobytes())
+        return b"".join(out).decode("utf-8", errors="replace")
 
 
 _loaded: dict[str, Tokenizer] = {}

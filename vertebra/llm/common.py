@@ -170,7 +170,8 @@ def buffers(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def give_back() -> None:
-    """Hands memory that this process no longer uses back to the system, where its C library can."""
+    """Forgets the powers, and hands memory that this process no longer uses back to the system, where its C library can."""
+    _powers.clear()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
